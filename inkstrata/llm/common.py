@@ -45,7 +45,7 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def map_text(df: DataFrame, fn: Callable[[list], list[tuple] | dict], schema: str, *, keep: list[str], text: str, budget: int = 1 << 20) -> DataFrame:
+def map_text(df: DataFrame, fn: Callable[[list], list[tuple] | dict], schema: str, *, keep: list[str], text: str, budget: int = 1 << 18) -> DataFrame:
     """fn gets lists of whole texts (None stays None) of about ``budget`` characters in all, and returns a dict of result columns.
 
     The columns in ``keep`` pass through. A single longer text makes a list of its own.

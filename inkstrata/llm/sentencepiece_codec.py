@@ -103,4 +103,4 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", keep:
 
         return run
 
-    return map_text(docs, build(), schema, keep=list(keep), text=text)
+    return map_text(docs, build(), schema, keep=list(keep), text=text, budget=1 << 20)
