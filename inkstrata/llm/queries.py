@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, langid, pii, sentencepiece_codec, simhash, toxicity, warc
+from . import decontaminate, fingerprint, html_text, langid, licenses, pii, sentencepiece_codec, simhash, toxicity, warc
 from .common import held_out, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -38,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -51,5 +55,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprint, op3_langid, op4_html, op5_toxicity, op7_sentencepiece, op8_warc, op9_pii)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below source/lang; the digits of doc_id, two a level, are the directories and the name."""
+    digits = F.col("doc_id").cast("string")
+    pairs = F.regexp_replace(F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits), r"([0-9]{2})(?=[0-9])", "$1/")
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.concat(pairs, F.lit(".txt"))))
+    return licenses.scan(docs)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprint, op3_langid, op4_html, op5_toxicity, op6_decontaminate, op7_sentencepiece, op8_warc, op9_pii, op10_licenses)}
 ORACLE: dict[str, str] = {}
