@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,18 +94,11 @@ class ToxicityModel:
 
 
 def train(hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np.ndarray, *, aside: int = 5, **how: object) -> ToxicityModel:
-    """A model from labelled texts (langs: numbers from 0, -1 unknown); each ``aside``-th text is kept aside for the thresholds."""
-
-    def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.diff(offsets)[rows]
-        own = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        words = np.repeat(offsets[:-1][rows] - own[:-1], sizes) + np.arange(own[-1])
-        return hashes[words], own, toxic[rows], langs[rows]
-
-    n = np.arange(len(toxic))
-    learn, check = n[n % aside != aside - 1], n[n % aside == aside - 1]
-    model = _learn(*part(learn), **how)
-    _calibrate(model, *part(check)[:3], model.lang_logs.shape[1])
+    """A model from labelled texts in random order (langs: numbers from 0, -1 unknown); the last of ``aside`` parts is kept aside for the thresholds. No copy of the words is made."""
+    cut = len(toxic) - len(toxic) // aside
+    at = int(offsets[cut])
+    model = _learn(hashes[:at], offsets[: cut + 1], toxic[:cut], langs[:cut], **how)
+    _calibrate(model, hashes[at:], offsets[cut:] - at, toxic[cut:], model.lang_logs.shape[1])
     return model
 
 
@@ -112,16 +108,24 @@ def _learn(hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np
     n = len(toxic)
     y = toxic.astype(np.float32)
     a, b = m.rows(hashes)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
     size = 1 << log2_buckets
     rng = np.random.default_rng(seed)
     share = y.mean()
     prior = float(np.clip(y.sum() / 10, 2, 12))  # so many texts of evidence pull every word to neutral: more texts bring more chance finds
-    for table, ids in ((m.first, a), (m.second, b)):
-        seen = np.unique(doc * np.int64(size) + ids)  # once per text
-        d, w = seen // size, seen % size
-        pos = np.bincount(w, weights=y[d], minlength=size)
-        neg = np.bincount(w, minlength=size) - pos
+    names = int(max(langs.max(initial=0), 0)) + 1
+    counts = np.full((size, names), 0.1)
+    tallies = np.zeros((2, 2, size))  # table, label
+    for lo in range(0, n, 500):  # some texts at a time: the driver stays small
+        hi = min(n, lo + 500)
+        part = slice(int(offsets[lo]), int(offsets[hi]))
+        doc = np.repeat(np.arange(lo, hi), np.diff(offsets[lo : hi + 1]))
+        for k, ids in enumerate((a[part], b[part])):
+            seen = np.unique(doc * np.int64(size) + ids)  # once per text
+            for label in (0, 1):
+                tallies[k, label] += np.bincount((seen % size)[toxic[seen // size] == label], minlength=size)
+        known = langs[doc] >= 0
+        np.add.at(counts, (a[part][known], langs[doc][known]), 1)
+    for table, (neg, pos) in zip((m.first, m.second), tallies, strict=True):
         lean = np.log((pos + prior * share) / max(1e-9, share)) - np.log((neg + prior * (1 - share)) / max(1e-9, 1 - share))
         often = pos + neg >= max(2, prior / 3)
         table[:, 0] = np.clip(lean, -3, 3) * often
@@ -129,10 +133,6 @@ def _learn(hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np
     m.kernel[:, 0] = 0
     m.kernel[0, 0] = m.kernel[m.half, 0] = 0.5
     m.bias[0], m.out[0] = -1.0, 2.0
-    names = int(max(langs.max(initial=0), 0)) + 1
-    counts = np.full((size, names), 0.1)
-    known = langs[doc] >= 0
-    np.add.at(counts, (a[known], langs[doc][known]), 1)
     m.lang_logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
     weight = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
@@ -199,7 +199,7 @@ def _calibrate(m: ToxicityModel, hashes: np.ndarray, offsets: np.ndarray, toxic:
     for k in range(names):
         own = lang == k
         if min(toxic[own].sum(), (1 - toxic[own]).sum()) >= least:
-            m.offset[k] = -cut(raw[own], toxic[own])
+            m.offset[k] = -float(np.clip(cut(raw[own], toxic[own]), whole - 0.75, whole + 0.75))  # few texts must not pull a threshold far away
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = 5000, log2_buckets: int = 17) -> ToxicityModel | None:
@@ -222,14 +222,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     toxic = np.array(found["toxic"].to_pylist(), np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    words = [np.frombuffer(w.as_buffer(), np.uint64) if w.is_valid else np.zeros(0, np.uint64) for w in found["words"]]
-    ids = found[key].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), len(words[i])))  # whatever the partitions
-    names = sorted({x for x in found[lang].to_pylist() if x is not None})
-    langs = found[lang].to_pylist()
-    offsets = np.concatenate(([0], np.cumsum([len(words[i]) for i in order]))).astype(np.int64)
+    ids, langs = found[key].to_pylist(), found[lang].to_pylist()
+    sizes = pc.binary_length(found["words"]).to_numpy() // 8
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i]), int(sizes[i])))  # random, but the same whatever the partitions
+    offsets = np.concatenate(([0], np.cumsum(sizes[order]))).astype(np.int64)
+    hashes = np.empty(offsets[-1], np.uint64)
+    for place, i in enumerate(order):
+        hashes[offsets[place] : offsets[place + 1]] = np.frombuffer(found["words"][i].as_buffer() or b"", np.uint64)
+    del found
+    names = sorted({x for x in langs if x is not None})
     number = {x: k for k, x in enumerate(names)}
-    return train(np.concatenate([words[i] for i in order]), offsets, toxic[order], np.array([number.get(langs[i], -1) for i in order]), log2_buckets=log2_buckets)
+    return train(hashes, offsets, toxic[order], np.array([number.get(langs[i], -1) for i in order]), log2_buckets=log2_buckets)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
