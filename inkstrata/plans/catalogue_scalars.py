@@ -54,10 +54,10 @@ def linear_blend(spark: SparkSession, d: str) -> DataFrame:
     return fx.pairs(spark, d).groupBy("image").agg(F.sum(numeric.linear_blend(F.col("v"), F.col("w"), 0.3)).cast("long").alias("total"))
 
 
-@query(f"WITH {PAIRS}, m AS (SELECT image, v, w, 0.2126::DOUBLE * v + 0.7152::DOUBLE * w + 0.0722::DOUBLE * ((v + w) // 2) AS luma FROM pairs) SELECT image, round(avg(luma), 8) AS mean, round(quantile_cont(luma, 0.99) - quantile_cont(luma, 0.01), 8) AS dynamic_range FROM m GROUP BY image")
+@query(f"WITH {PAIRS}, m AS (SELECT image, v, w, 0.2126::DOUBLE * v + 0.7152::DOUBLE * w + 0.0722::DOUBLE * ((v + w) // 2) AS luma FROM pairs) SELECT image, round(avg(luma), 11) AS mean, round(quantile_cont(luma, 0.99) - quantile_cont(luma, 0.01), 8) AS dynamic_range FROM m GROUP BY image")
 def luma_stats(spark: SparkSession, d: str) -> DataFrame:
     y = numeric.luma(F.col("v"), F.col("w"), F.floor((F.col("v") + F.col("w")) / 2))
-    return fx.pairs(spark, d).groupBy("image").agg(F.round(F.avg(y), 8).alias("mean"), F.round(F.percentile(y, 0.99) - F.percentile(y, 0.01), 8).alias("dynamic_range"))
+    return fx.pairs(spark, d).groupBy("image").agg(F.round(F.avg(y), 11).alias("mean"), F.round(F.percentile(y, 0.99) - F.percentile(y, 0.01), 8).alias("dynamic_range"))
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT image, y, x, v / 255.0::DOUBLE AS s, w / 255.0::DOUBLE AS t FROM pairs) SELECT image, y, x, greatest(0, least(255, round_even(greatest(0.0, least(1.0, CASE WHEN s < 1e-4 THEN t ELSE s * ((t + 1e-5) / (s + 1e-5)) END)) * 255, 0)::BIGINT)) AS v FROM m")
