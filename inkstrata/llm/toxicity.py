@@ -54,7 +54,8 @@ class ToxicityModel:
         x[a < 0] = 0
         return x
 
-    def responses(self, x: np.ndarray) -> list[np.ndarray]:
+    def responses(self, x: np.ndarray, empty: np.ndarray) -> list[np.ndarray]:
+        """Each filter's response to the window that begins at each place. One that begins at an empty place would reach into the next text: it counts as an empty window."""
         z = x @ self.kernel
         f, col, found = self.filters, 0, []
         for k, width in enumerate(WIDTHS):
@@ -62,12 +63,13 @@ class ToxicityModel:
             for j in range(1, width):
                 r[:-j] += z[j:, col + j * f : col + (j + 1) * f]
             col += width * f
+            r[empty] = 0
             r += self.bias[k * f : (k + 1) * f]
             found.append(r)
         return found
 
     def pooled(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-        made = [np.maximum.reduceat(r, at[:-1], axis=0) for r in self.responses(self.embed(a, b))]
+        made = [np.maximum.reduceat(r, at[:-1], axis=0) for r in self.responses(self.embed(a, b), a < 0)]
         return np.maximum(np.concatenate(made, axis=1), 0)
 
     def languages(self, a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -148,7 +150,7 @@ def _learn(hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np
             words = np.concatenate(spans) if own[-1] else np.zeros(0, np.int64)
             pa, pb, at = m.padded(a[words], b[words], own)
             x = m.embed(pa, pb)
-            responses = m.responses(x)
+            responses = m.responses(x, pa < 0)
             top = np.concatenate([[at[i] + r[at[i] : at[i + 1]].argmax(axis=0) for i in range(len(pick))] for r in responses], axis=1)
             values = np.concatenate([np.take_along_axis(r, t, axis=0) for r, t in zip(responses, np.split(top, len(WIDTHS), axis=1), strict=True)], axis=1)
             h = np.maximum(values, 0)
