@@ -83,27 +83,19 @@ def sketches(texts: list) -> np.ndarray:
         short = np.diff(offsets) < SHORT
         names, starts = mix64(points.astype(np.uint64) + np.uint64(1)), offsets[full]
         level = 0
-        while True:
+        while len(names):
             names, starts = phrases(names, starts)
             level += 1
-            doc = np.repeat(full, np.diff(np.append(starts, len(names))))
-            last = len(names) == len(starts)
-            if level >= 2 or last:
-                use = names
-            else:
-                pick = short[doc]
-                use, doc = names[pick], doc[pick]
-            np.minimum.at(out, doc * BINS + (use & np.uint64(BINS - 1)).astype(np.int64), np.minimum(use >> np.uint64(32), np.uint64(0xFFFEFFFF)).astype(np.uint32))
-            if last:
-                break
-            if level >= 2:  # sequences of one phrase are done
-                sizes = np.diff(np.append(starts, len(names)))
-                live = sizes > 1
-                keep = np.repeat(live, sizes)
-                names, full = names[keep], full[live]
-                starts = np.concatenate(([0], np.cumsum(sizes[live])))[:-1].astype(np.int64)
-                if not len(names):
-                    break
+            sizes = np.diff(np.append(starts, len(names)))
+            doc = np.repeat(full, sizes)
+            use, of = names, doc
+            if level == 1:  # also the one phrase that a long run is
+                pick = short[doc] | np.repeat(sizes == 1, sizes)
+                use, of = names[pick], doc[pick]
+            np.minimum.at(out, of * BINS + (use & np.uint64(BINS - 1)).astype(np.int64), np.minimum(use >> np.uint64(32), np.uint64(0xFFFEFFFF)).astype(np.uint32))
+            live = sizes > 1  # a text of one phrase is done
+            names, full = names[np.repeat(live, sizes)], full[live]
+            starts = (np.cumsum(sizes[live]) - sizes[live]).astype(np.int64)
     return (out >> np.uint32(16)).astype(">u2").reshape(-1, BINS)
 
 
