@@ -77,6 +77,9 @@ def parse(page: str) -> Node:
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break  # an inline end doesn't close the block around it
+            else:
+                if tag == "p":
+                    stack[-1].kids.append(Node(tag))  # the end of no paragraph is an empty one
             continue
         if tag in BLOCK:
             for i in range(len(stack) - 1, 0, -1):
