@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,6 +46,21 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn, after which freed memory goes back to the system (where its C library can): Python workers live on from task to task and stage to stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return run
+
+
 def map_text(df: DataFrame, fn: Callable[[list], list[tuple] | dict], schema: str, *, keep: list[str], text: str, budget: int = 1 << 18) -> DataFrame:
     """fn gets lists of whole texts (None stays None) of about ``budget`` characters in all, and returns a dict of result columns.
 
@@ -78,7 +94,7 @@ def map_text(df: DataFrame, fn: Callable[[list], list[tuple] | dict], schema: st
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
                 lo = hi
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(trimmed(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_batches
+from .common import arrow_batches, trimmed
 from .textvec import _powers, code_points, mix64
 
 BINS = 64
@@ -215,5 +215,5 @@ def with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buck
         if ready:
             yield flush()
 
-    packed = docs.select(ids, F.col(key).isNull().alias("missing"), F.col(text)).mapInArrow(pack, "bucket int, tail int, id long, missing boolean, n int, z binary")
-    return packed.repartition(max(buckets // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket", "tail", "id", "n", "z").mapInArrow(walk, schema)
+    packed = docs.select(ids, F.col(key).isNull().alias("missing"), F.col(text)).mapInArrow(trimmed(pack), "bucket int, tail int, id long, missing boolean, n int, z binary")
+    return packed.repartition(max(buckets // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket", "tail", "id", "n", "z").mapInArrow(trimmed(walk), schema)

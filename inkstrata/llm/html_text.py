@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_batches, written
+from .common import arrow_batches, trimmed, written
 
 # Fixed values of HTML: elements without content, elements that end a block of text, those whose content is no text, and what ends an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,7 +255,7 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
         if held:
             yield flush()
 
-    counts = written(src.select("host", "html").mapInArrow(count, deal).groupBy("host", "k").agg(F.sum("n").alias("n")).where((F.col("k") == -1) | (F.col("n") >= least_pages)), "subtree-counts")
+    counts = written(src.select("host", "html").mapInArrow(trimmed(count), deal).groupBy("host", "k").agg(F.sum("n").alias("n")).where((F.col("k") == -1) | (F.col("n") >= least_pages)), "subtree-counts")
     sizes = counts.where("k = -1").select("host", F.col("n").alias("pages"))
     recurring = written(counts.where("k <> -1").join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "k"), "recurring-subtrees")
 
@@ -275,7 +275,7 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
                 rows.append(None if sure else int.from_bytes(hashlib.blake2b(f"{k}\x1f{page}".encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(found_schema.field(i).type) for i in range(3)), pa.array(rows, "int64"), pa.array(texts, "string"), pa.array(open_, found_schema.field("blocks").type)], schema=found_schema)
 
-    found = src.mapInArrow(main_text, found_ddl)
+    found = src.mapInArrow(trimmed(main_text), found_ddl)
     sure = found.where(F.col("text").isNotNull()).select(key, url, "text")
     # the others: a block goes if a subtree around it recurs
     left = written(found.where(F.col("text").isNull()).drop("text"), "open-pages")

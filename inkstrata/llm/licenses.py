@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_batches, map_text, written
+from .common import arrow_batches, map_text, trimmed, written
 from .textvec import word_hashes
 
 # What licences and the notices for them say, by SPDX identifier.
@@ -140,7 +140,7 @@ def line_frequencies(files: DataFrame, text: str, matcher: Matcher) -> tuple[np.
                 found += np.bincount(np.unique(line * len(vocabulary) + place[known]) % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocabulary))), pa.array(np.concatenate(([total], found)))], ["w", "n"])
 
-    sums = files.select(text).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    sums = files.select(text).mapInArrow(trimmed(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
     w, n = sums["w"].to_numpy(), sums["n"].to_numpy()
     df = np.zeros(len(vocabulary))
     df[w[w >= 0]] = n[w >= 0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,10 +20,11 @@ class ChunkTable:
 
     A chunk is a run of whitespace markers and the characters up to the next marker. No piece of the vocabulary holds a marker
     after another character (checked here), so no merge crosses from one chunk to the next, and a text's ids are its chunks' ids in a row.
-    The table holds ``most`` chunks, then starts anew: memory stays bounded, only the work of segmenting again is lost.
+    The table holds two generations of ``most`` chunks. When the young one is full, the old one goes and the young one grows old; chunks that occur again are taken over.
+    Memory stays bounded, frequent chunks stay, and only rare ones may be segmented anew.
     """
 
-    def __init__(self, model_file: str, most: int = 150_000) -> None:
+    def __init__(self, model_file: str, most: int = 40_000) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -33,35 +35,39 @@ class ChunkTable:
             raise ValueError("this model's normaliser changes whitespace; its chunks can't be segmented alone")
         self.most = most
         self.mark_id = self.model.piece_to_id(MARK)
-        self.ids: dict[str, list[int]] = {}
-        self.joined: dict[str, str] = {}
-
-    def _segment(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > self.most:
-            self.ids.clear()
-            self.joined.clear()
-        new = [c for c in chunks if c not in self.ids]
+        self.young: dict[str, tuple[array, str]] = {}
+        self.old: dict[str, tuple[array, str]] = {}
+
+    def rows(self, chunks: set[str]) -> dict[str, tuple[array, str]]:
+        """The ids of each chunk, as numbers and joined by spaces."""
+        found: dict[str, tuple[array, str]] = {}
+        new = []
+        for c in chunks:
+            row = self.young.get(c) or self.old.get(c)
+            if row:
+                found[c] = row
+            else:
+                new.append(c)
         # the model puts one marker in front, so the chunk goes in without its first
         for chunk, ids in zip(new, self.model.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1), strict=True):
             if chunk == MARK:
                 ids = [self.mark_id]
-            self.ids[chunk] = ids
-            self.joined[chunk] = " ".join(map(str, ids))
+            found[chunk] = array("i", ids), " ".join(map(str, ids))
+        self.young.update(found)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return found
 
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
         return _CHUNK.findall(MARK + text.replace(" ", MARK))
 
-    def prepare(self, texts: list) -> list[list[str]]:
-        split = [self.chunks(t or "") for t in texts]
-        self._segment(set().union(*split))
-        return split
-
     def encode(self, text: str) -> list[int]:
         """The ids of one text, with the end id."""
-        (split,) = self.prepare([text])
-        return [i for c in split for i in self.ids[c]] + [self.model.eos_id()]
+        chunks = self.chunks(text)
+        rows = self.rows(set(chunks))
+        return [i for c in chunks for i in rows[c][0]] + [self.model.eos_id()]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
@@ -82,19 +88,20 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", keep:
 
         def run(texts: list) -> dict:
             table = held.get("t") or held.setdefault("t", ChunkTable(model_file))
-            eos = str(table.model.eos_id())
-            split = table.prepare(texts)
+            end = table.model.eos_id()
+            split = [table.chunks(t or "") for t in texts]
+            rows = table.rows(set().union(*split))
             made: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             flat: list[list[int]] = []
             for chunks in split:
-                joined = " ".join([*map(table.joined.__getitem__, chunks), eos])
-                made["n_tokens"].append(joined.count(" ") + 1)
-                made["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
-                ids: list[int] = []
-                for c in chunks:
-                    ids += table.ids[c]
-                ids.append(table.model.eos_id())
-                flat.append(ids)
+                parts = [rows[c] for c in chunks]
+                ids = array("i")
+                for p, _ in parts:
+                    ids += p
+                ids.append(end)
+                made["n_tokens"].append(len(ids))
+                made["ids_sha256"].append(hashlib.sha256(" ".join([*(j for _, j in parts), str(end)]).encode()).hexdigest())
+                flat.append(ids.tolist())
             decoded = table.model.decode(flat, num_threads=1)
             made["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
             if with_ids:
@@ -103,4 +110,4 @@ def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", keep:
 
         return run
 
-    return map_text(docs, build(), schema, keep=list(keep), text=text, budget=1 << 20)
+    return map_text(docs, build(), schema, keep=list(keep), text=text)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_batches, fresh_path, written
+from .common import arrow_batches, fresh_path, trimmed, written
 
 # Fixed values of the format.
 END = "\r\n\r\n"
@@ -162,7 +162,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files.mapInArrow(rewrite, INDEX).write.parquet(f"{target}/index")
+    files.mapInArrow(trimmed(rewrite), INDEX).write.parquet(f"{target}/index")
     arrow_batches(spark)
     return spark.read.schema(INDEX).parquet(f"{target}/index")
 
@@ -211,7 +211,7 @@ def read_back(index: DataFrame) -> DataFrame:
 
     spark = index.sparkSession
     arrow_batches(spark, 500)
-    return index.mapInArrow(fetch, ddl)
+    return index.mapInArrow(trimmed(fetch), ddl)
 
 
 def archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
