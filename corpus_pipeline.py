@@ -24,11 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays, once. Documents without a doc_id stay if their component has none.
+    """Of each group of documents that are alike by 0.8 or more in their five-word shingles the one with the smallest doc_id stays, once. Documents without a doc_id stay if their group has none with one.
 
     Most documents stay, so the list of those that do grows with the input: it is merged at every size, never broadcast.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = simhash.similar_documents(docs)
     stay = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "representatives")
     kept = docs.join(stay.withColumnRenamed("doc_id", "stays").hint("merge"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*COLUMNS)
     repeated = stay.where("doc_id is not null and rows > 1").limit(1).count()

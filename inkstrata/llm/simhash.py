@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,70 +13,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, map_text, written
+from .common import arrow_batches, map_text, trimmed, written
 from .components import components
+from .textvec import mix64
 
 BITS = 64
 
 
-def simhash(texts: list, width: int = 3, seed: int = 42) -> list[int]:
-    """Fingerprints of whole texts: a bit is 1 if over half the shingle hashes have it. No word: 0."""
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle of ``width`` words, repeats included; of the whole sequence if it is shorter; none without a word."""
     import xxhash
 
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    n = len(parts)
+    if not n:
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    counts: list[int] = []
-    hashes: list[int] = []
-    for t in texts:
-        words = (t or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-        n = len(words)
-        if not n:
-            counts.append(0)
-        elif n <= width:
-            hashes.append(digest(b" ".join(words), seed))
-            counts.append(1)
-        else:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            hashes += [digest(joined[a:b], seed) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-            counts.append(n - width + 1)
-    if not hashes:
-        return [0] * len(texts)
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    n = np.array(counts, np.int64)
-    at = np.concatenate(([0], np.cumsum(n)[:-1]))
-    sums = np.zeros((len(texts), BITS), np.int64)
-    full = np.flatnonzero(n)
-    sums[full] = np.add.reduceat(bits, at[full], axis=0, dtype=np.int64)
-    return np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view("<u8").ravel().tolist()
+    joined = b" ".join(parts)
+    ends = (np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1).tolist()
+    k = max(1, n - width + 1)
+    starts = [0, *(e + 1 for e in ends[: k - 1])]
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[n - k :], strict=True)), np.uint64, k)
+
+
+def majority(hashes: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """The bits that over half of the hashes have; with keys one word for each, of the hashes mixed with it."""
+    words = 1 if keys is None else len(keys)
+    sums = np.zeros(BITS * words, np.int64)
+    for lo in range(0, len(hashes), 20_000):  # long texts in pieces
+        h = hashes[lo : lo + 20_000, None]
+        h = h if keys is None else mix64(h ^ keys)
+        sums += np.unpackbits(np.ascontiguousarray(h, "<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")
+
+
+def simhash(texts: list, width: int = 3, seed: int = 42) -> list[int]:
+    """Fingerprints of whole texts: a bit is 1 if over half the shingle hashes have it. No word: 0."""
+    return [int(majority(shingle_hashes(t, width, seed))[0]) for t in texts]
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed long."""
     arrow_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
-    return map_text(docs, lambda texts: {"fp": np.array(simhash(texts), np.uint64).view(np.int64)}, f"`{key}` {kind}, fp long", keep=[key], text=text, budget=1 << 19)
+    return map_text(docs, lambda texts: {"fp": np.array(simhash(texts), np.uint64).view(np.int64)}, f"`{key}` {kind}, fp long", keep=[key], text=text, budget=1 << 17)
 
 
 def trie_links(groups: np.ndarray, values: np.ndarray, budget: int, leaf: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of positions within ``budget`` differing bits and in one group, by a joint walk over pairs of trie nodes.
 
-    groups and values are sorted by (group, value); values are distinct within a group. A trie node is a range of the sorted values, so a
-    pair of nodes is two ranges, with the bits that differ so far. Pairs over the budget are pruned; pairs of at most ``leaf`` members in all are compared.
+    values: one 64-bit word each, or several (a row each). groups and values are sorted by (group, words in order) and values are distinct within a group. A trie node is a range of the
+    sorted values, so a pair of nodes is two ranges, with the bits that differ so far. Pairs over the budget are pruned; pairs of at most ``leaf`` members in all are compared.
     """
-    n = len(values)
+    words = values.reshape(len(values), -1)
+    n, bits = len(words), 64 * words.shape[1]
     if n < 2:
         return
     first = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
     last = np.append(first[1:], n)
     a0, a1, b0, b1 = first, last, first, last
     err = np.zeros(len(first), np.int64)
-    for depth in range(BITS + 1):
+    for depth in range(bits + 1):
         size = (a1 - a0) * (b1 - b0)
-        done = (size <= leaf) | (depth == BITS)
+        done = (size <= leaf) | (depth == bits)
         pick = np.flatnonzero(done)
-        for lo in range(0, len(pick), 2048):
-            p = pick[lo : lo + 2048]
+        for lo in range(0, len(pick), 1024):
+            p = pick[lo : lo + 1024]
             m = size[p]
             if not m.sum():
                 continue
@@ -82,15 +86,20 @@ def trie_links(groups: np.ndarray, values: np.ndarray, budget: int, leaf: int =
             inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             wide = (b1 - b0)[p][which]
             i, j = a0[p][which] + inner // wide, b0[p][which] + inner % wide
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
+            ahead = i < j
+            i, j = i[ahead], j[ahead]
+            apart = np.bitwise_count(words[i, 0] ^ words[j, 0]).astype(np.int64)
+            for w in range(1, words.shape[1]):
+                apart += np.bitwise_count(words[i, w] ^ words[j, w])
+            near = apart <= budget
             if near.any():
                 yield i[near], j[near]
         keep = ~done
         if not keep.any():
             return
         a0, a1, b0, b1, err = a0[keep], a1[keep], b0[keep], b1[keep], err[keep]
-        bit = np.uint64(1) << np.uint64(BITS - 1 - depth)
-        ones = np.concatenate(([0], np.cumsum((values & bit) != 0)))
+        bit = np.uint64(1) << np.uint64(63 - depth % 64)
+        ones = np.concatenate(([0], np.cumsum((words[:, depth // 64] & bit) != 0)))
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])  # sorted: zeros first
         same = (a0 == b0) & (a1 == b1)
         kids = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1)]
@@ -134,6 +143,12 @@ def fingerprint_links(fps: DataFrame, budget: int = 3, slice_rows: int = 1024, m
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(k).alias("trie"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("top")) for k, m in enumerate(signed)])
     rows = fps.select("fp", F.explode(keys).alias("g")).select("fp", "g.trie", "g.top")
+    return _joined(rows, ["fp"], budget, slice_rows)
+
+
+def _joined(rows: DataFrame, words: list[str], budget: int, slice_rows: int) -> DataFrame:
+    """Links (a, b) of the members of subtrees (trie, top): of their first words where there is one, of a hash of the words where there are several."""
+    ident = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
     hot = written(rows.groupBy("trie", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows).select("trie", "top", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")), "hot-subtrees")
     few = hot.count()
     if few:
@@ -141,10 +156,10 @@ def fingerprint_links(fps: DataFrame, budget: int = 3, slice_rows: int = 1024, m
         rows = rows.join(F.broadcast(hot) if few <= 20_000 else hot, ["trie", "top"], "left")
     else:
         rows = rows.withColumn("slices", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    own = F.pmod(ident if len(words) > 1 else F.xxhash64(words[0]), F.col("slices")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least(own, s).alias("x"), F.greatest(own, s).alias("y")))
     tiles = F.when(F.col("slices").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(others)
-    dealt = rows.select("fp", "trie", "top", F.explode(tiles).alias("t")).select("fp", F.xxhash64("trie", "top", "t.x", "t.y").alias("g"))
+    dealt = rows.select(*words, "trie", "top", F.explode(tiles).alias("t")).select(*words, ident.alias("id"), F.xxhash64("trie", "top", "t.x", "t.y").alias("g"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
@@ -152,17 +167,18 @@ def fingerprint_links(fps: DataFrame, budget: int = 3, slice_rows: int = 1024, m
 
         def flush(frame: pd.DataFrame) -> pa.RecordBatch:
             g = frame["g"].to_numpy()
-            v = frame["fp"].to_numpy().view(np.uint64)
-            order = np.lexsort((v, g))
+            v = frame[words].to_numpy().view(np.uint64)
+            order = np.lexsort((*(v[:, k] for k in range(len(words) - 1, -1, -1)), g))
             g, v = g[order], v[order]
+            ids = frame["id"].to_numpy()[order]
             root = spanning(len(v), trie_links(g, v, budget))
             linked = np.flatnonzero(root != np.arange(len(v)))
-            return pa.RecordBatch.from_arrays([pa.array(v[linked].view(np.int64)), pa.array(v[root[linked]].view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
 
         for batch in batches:
             held.append(batch.to_pandas())
             size += batch.num_rows
-            if size >= 200_000:
+            if size >= 100_000:
                 frame = pd.concat(held)
                 tail = frame["g"].iloc[-1]  # sorted by g: only the last group can go on
                 cut = int((frame["g"].to_numpy() != tail).sum())
@@ -172,7 +188,47 @@ def fingerprint_links(fps: DataFrame, budget: int = 3, slice_rows: int = 1024, m
         if held:
             yield flush(pd.concat(held))
 
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(join, "a long, b long").distinct()
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(trimmed(join), "a long, b long").distinct()
+
+
+def wide_simhash(texts: list, width: int = 5, words: int = 4, seed: int = 42) -> np.ndarray:
+    """n x words fingerprints of 64 bits a word: each shingle's hash is mixed anew for every word. Texts without a word have zeros."""
+    keys = mix64(np.arange(1, words + 1, dtype=np.uint64))
+    return np.array([majority(shingle_hashes(t, width, seed), keys) for t in texts], np.uint64).reshape(len(texts), words)
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, recall: float = 0.99, slice_rows: int = 1024) -> DataFrame:
+    """(key, component_id): documents whose sets of five-word shingles are alike by ``similarity`` (Jaccard) or more, as 256 SimHash bits show it, and what they connect; rows as near_duplicates() has them.
+
+    Bits differ with the angle between two shingle vectors: alike by J, the share acos(2 J / (1 + J)) / pi of them. Fingerprints link within that share plus a standard deviation and a quarter. So many bits
+    can't be cut into blocks of which one is sure to agree; instead each of several tries is entered at a random choice of bits, as many as keep subtrees small for the number of fingerprints, with as many tries as find
+    a pair at the threshold with probability ``recall`` (more alike pairs, and those of larger groups, more surely).
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    kind = dict(docs.dtypes)[key]
+    words = [f"w{i}" for i in range(4)]
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    budget = round(256 * angle + 1.25 * math.sqrt(256 * angle * (1 - angle)))
+
+    def prints(texts: list) -> dict:
+        f = wide_simhash(texts, width).view(np.int64)
+        return {w: np.ascontiguousarray(f[:, i]) for i, w in enumerate(words)}
+
+    fps = written(map_text(docs, prints, f"`{key}` {kind}, " + ", ".join(f"{w} long" for w in words), keep=[key], text=text, budget=1 << 17).withColumn("id", F.xxhash64(*words)), "wide-fingerprints")
+    classes = written(fps.groupBy("id", *words).agg(F.min(key).alias("least")), "wide-classes")
+    n = classes.count()
+    depth = max(14, math.ceil(math.log2(max(n, 2))) - 4)
+    tries = math.ceil(math.log(1 - recall) / math.log(1 - (1 - angle) ** depth))
+    rng = random.Random(5)
+    masks = [sum(1 << b for b in rng.sample(range(64), depth)) for _ in range(tries)]
+    tops = F.array(*[F.struct(F.lit(k).alias("trie"), F.col(words[k % 4]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("top")) for k, m in enumerate(masks)])
+    rows = classes.select(*words, F.explode(tops).alias("g")).select(*words, "g.trie", "g.top")
+    member = components(written(_joined(rows, words, budget, slice_rows), "wide-links"))
+    whole = written(classes.join(member, classes.id == member.node, "left").select("id", "least", F.coalesce("component", "id").alias("root")), "wide-members")
+    roots = written(whole.groupBy("root").agg(F.min("least").alias("component_id")), "wide-components")
+    found = written(whole.select("id", "root").join(roots, "root").select("id", "component_id"), "wide-found")
+    return fps.select(key, "id").join(found, "id").select(key, "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:

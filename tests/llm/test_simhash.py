@@ -89,3 +89,47 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 90)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert {got[i] for i in range(1, 91)} == {1} and got[501] == 500
+
+
+def test_walk_over_several_words():
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    rows = []
+    for _ in range(150):
+        v = centre.copy()
+        for b in rng.choice(256, rng.integers(0, 30), replace=False):
+            v[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        rows.append(tuple(v.tolist()))
+    v = np.array(sorted(set(rows)), np.uint64)
+    for leaf in (1, 64, 4096):
+        got = sorted((int(i), int(j)) for a, b in simhash.trie_links(np.zeros(len(v), np.int64), v, 20, leaf) for i, j in zip(a, b, strict=True))
+        want = [(i, j) for i, j in itertools.combinations(range(len(v)), 2) if int(np.bitwise_count(v[i] ^ v[j]).sum()) <= 20]
+        assert got == want
+
+
+def test_alike_documents_are_found(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 120, 400]))]
+        texts.append(base)
+        for edits in (0.0, 0.004, 0.02):  # a changed word spoils five shingles
+            copy = list(base)
+            for k in range(len(copy)):
+                if rng.random() < edits:
+                    copy[k] = rng.choice(words)
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert sum(got[a] == got[b] for a, b in alike) >= 0.97 * len(alike)
+    assert all(a // 4 == b // 4 for a, b in got.items())  # never two families
+
+
+def test_alike_rows_of_every_kind(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f g", 1), (1, "A b c d e f g", 1), (1, "A b c d e f g", 1), (3, None, 1), (4, "", 1), (None, "other words", 1), (5, "x " * 60_000, 1)], "doc_id long, text string, component_id int")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (None, None), (5, 5)], key=str)
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
