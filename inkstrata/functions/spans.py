@@ -25,6 +25,9 @@ DETECTORS: tuple[tuple[str, int, str, int], ...] = (
 )
 GLOSSARY_PRIORITY = 110
 _COMPILED = [(kind, rank, re.compile(pattern, flags)) for kind, rank, pattern, flags in DETECTORS]
+# What a text must hold for a detector to have a chance: most texts hold none of it, and a class search is much cheaper than a detector.
+_DIGIT, _MARK, _JOINT = re.compile(r"\d"), re.compile("[®™]"), re.compile(r"[A-Z0-9][._/\-][A-Z0-9]")
+_NEEDS = [_MARK, _DIGIT, _DIGIT, _DIGIT, _JOINT, _DIGIT, _DIGIT, _DIGIT, _DIGIT]
 SPAN = "struct<start:int,end:int,text:string,kind:string>"
 
 
@@ -48,7 +51,9 @@ def find(text: str, brands: Sequence[str] = (), addresses: Sequence[str] = ()) -
     """Disjoint spans in order of the composed text. Where matches overlap, priority, then length, then the earlier one wins."""
     source = composed(text)
     hits: list[tuple[int, int, int, int, str]] = []
-    for kind, rank, pattern in [*_glossary(brands, "brand"), *_glossary(addresses, "address"), *_COMPILED]:
+    has = {need: need.search(source) is not None for need in (_DIGIT, _MARK, _JOINT)}
+    likely = [d for d, need in zip(_COMPILED, _NEEDS, strict=True) if has[need]]
+    for kind, rank, pattern in [*_glossary(brands, "brand"), *_glossary(addresses, "address"), *likely]:
         group = "token" if "token" in pattern.groupindex else 0
         hits += [(-rank, m.start(group) - m.end(group), m.start(group), m.end(group), kind) for m in pattern.finditer(source) if m.end(group) > m.start(group)]
     taken = bytearray(len(source))
