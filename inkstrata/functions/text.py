@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Words and marks that make a line critical.
 CRITICAL = r"(?iU)(?:\d|₫|đ(?:\b|/)|%|\b(?:sđt|đt|tel|hotline|sku|mã|giá|km)\b)"
@@ -121,3 +121,25 @@ def safe_attribute(name: Column, value: Column) -> Column:
 def package_name(c: Column) -> Column:
     """A package name in canonical form: lower case, runs of - _ . become one hyphen."""
     return F.lower(F.regexp_replace(c, "[-_.]+", "-"))
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("form", StringType()), StructField("coverage", DoubleType())]))
+def for_font(text: pd.Series, codepoints: pd.Series) -> pd.DataFrame:
+    """The composed form of a text, or the decomposed one if a font covers more of it; and the share of visible characters that the font has."""
+    rows = []
+    for t, have in zip(text, codepoints, strict=True):
+        best = ("", "NFC", -1.0)
+        known = set(have if have is not None else ())
+        for form in ("NFC", "NFD"):
+            c = unicodedata.normalize(form, t or "")
+            points = {ord(x) for x in c if not x.isspace() and unicodedata.category(x)[0] != "C"}
+            share = len(points & known) / len(points) if points else 1.0
+            if share > best[2]:
+                best = (c, form, share)
+        rows.append(best)
+    return pd.DataFrame(rows, columns=["text", "form", "coverage"])
+
+
+def path_operators(stream: Column) -> Column:
+    """How many path construction operators a page description's text holds."""
+    return F.regexp_count(stream, F.lit(r"(?<!\S)(?:m|l|c|v|y|h|re)(?!\S)"))

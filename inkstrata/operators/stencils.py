@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -273,3 +274,49 @@ def tinted(image: np.ndarray, mask: np.ndarray, colour: tuple[int, ...], alpha:
     out = image.copy()
     out[mask] = np.rint(out[mask].astype(np.float64) * (1 - alpha) + np.asarray(colour, np.float64) * alpha).astype(image.dtype)
     return out
+
+
+def promoted_singletons(alpha: np.ndarray, matte: np.ndarray, mask: np.ndarray, colours: np.ndarray, radius: int = 5, near: float = 34.0, least: int = 4, most: int = 2) -> list[tuple[int, int]]:
+    """Lone opaque pixels (y, x) that the matte hardly owns and whose colour is that of the background around them; the ``most`` nearest to it, by distance, support and place."""
+    labels, _ = label(alpha >= 128)
+    sizes = np.bincount(labels.ravel())
+    found = []
+    for y, x in np.argwhere((labels > 0) & (sizes[labels] == 1)):
+        if not 0 < matte[y, x] < 0.5:
+            continue
+        ys, xs = slice(max(0, y - radius), y + radius + 1), slice(max(0, x - radius), x + radius + 1)
+        ground = ~mask[ys, xs] | (matte[ys, xs] < 0.25)
+        ground[y - ys.start, x - xs.start] = False
+        d = np.linalg.norm(colours[ys, xs][ground] - colours[y, x], axis=1)
+        close_by = np.sort(d[d <= near])
+        if len(close_by) < least:
+            continue
+        back = np.median(colours[ys, xs][ground][np.argsort(d, kind="stable")[: min(16, len(close_by))]], axis=0)
+        off = float(np.linalg.norm(colours[y, x] - back))
+        if off <= near:
+            found.append((off, -len(close_by), int(y), int(x)))
+    return [(y, x) for _, _, y, x in sorted(found)[:most]]
+
+
+def pruned_to_rest(matte: np.ndarray, mask: np.ndarray, render: Callable[[np.ndarray, np.ndarray], np.ndarray], colours: np.ndarray, passes: int = 3, most: int = 2) -> tuple[np.ndarray, np.ndarray, int]:
+    """(matte, mask, pixels removed): renders, takes promoted pixels out of mask and matte, and renders again until none is left; an error if that takes more passes or pixels."""
+    matte, mask, removed = matte.copy(), mask.copy(), 0
+    for _ in range(passes + 1):
+        found = promoted_singletons(render(matte, mask), matte, mask, colours, most=most)
+        if not found:
+            return matte, mask, removed
+        removed += len(found)
+        if removed > most:
+            raise RuntimeError("more promoted pixels than the safe cap")
+        for y, x in found:
+            matte[y, x], mask[y, x] = 0.0, False
+    raise RuntimeError("pruning did not converge")
+
+
+def matte_report(alpha: np.ndarray, reference: np.ndarray, support: np.ndarray, scale: float = 1.0) -> dict[str, object]:
+    """Ownership and topology of a rendered alpha against its support and its reference alpha, at the levels 64, 128 and 192."""
+    high = alpha >= 128
+    labels, n = label(high)
+    sizes = np.sort(np.bincount(labels.ravel(), minlength=n + 1)[1:])[::-1]
+    kept = {level: not any(correspondence((reference >= level) & support, alpha >= level, scale).values()) for level in (64, 128, 192)}
+    return {"outside": int(((alpha > 0) & ~support).sum()), "components": n, "detached": float(sizes[1:].sum() / max(1, high.sum())), "soft": int(((alpha > 0) & (alpha < 255)).sum()), "topology": all(kept.values()) and not ((alpha > 0) & ~support).any()}

@@ -160,3 +160,26 @@ def launcher_errors(pipeline: Column, wanted_pipeline: str, width: Column, heigh
             F.when(~F.coalesce(F.forall(nested, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)), F.lit("nested_qa")),
         )
     )
+
+
+# The modes of a job, their scales and the options that only some modes take.
+MODES = {"fast": (2.0, 20.0), "high": (2.0, 20.0), "print": (2.0, 20.0), "layers": (1.0, 20.0), "repair": (1.0, 20.0)}
+OPTION_MODES = {"width_mm": ("print",), "bleed_mm": ("print",), "max_layers": ("layers",), "review": ("repair",), "ocr_passes": ("repair",)}
+
+
+def job_errors(jobs: DataFrame) -> Column:
+    """What is wrong with a job's options: mode, scale (a repair takes none between 1 and 2), ranges, options of other modes. Numbers may have a decimal comma."""
+    number = lambda c: F.expr(f"try_cast(replace({c}, ',', '.') AS DOUBLE)")
+    mode, scale = F.lower("mode"), number("scale")
+    lo, hi = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for m, (a, b) in MODES.items():
+        lo, hi = F.when(mode == m, a).otherwise(lo), F.when(mode == m, b).otherwise(hi)
+    out = [F.when(~F.coalesce(mode.isin(*MODES), F.lit(False)), F.lit("mode")), F.when(~F.coalesce(scale.between(lo, hi) & ~((mode == "repair") & (scale > 1) & (scale < 2)), F.lit(False)), F.lit("scale"))]
+    ranges = {"width_mm": (10, 100_000), "bleed_mm": (0, 100), "max_layers": (4, 60), "ocr_passes": (1, 3)}
+    for name, (a, b) in ranges.items():
+        if name in jobs.columns:
+            out.append(F.when(F.col(name).isNotNull() & ~F.coalesce(number(name).between(a, b), F.lit(False)), F.lit(name)))
+    for name, modes in OPTION_MODES.items():
+        if name in jobs.columns:
+            out.append(F.when(F.col(name).isNotNull() & ~F.coalesce(mode.isin(*modes), F.lit(False)), F.lit(f"{name}_not_for_mode")))
+    return F.array_compact(F.array(*out))

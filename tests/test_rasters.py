@@ -215,3 +215,46 @@ def test_winsorized_and_agreement():
     flat = np.full((16, 16, 3), 9, np.uint8)
     assert raster.edge_agreement(flat, flat) == {"precision": 1.0, "recall": 1.0, "f1": 1.0}
     assert all(stencils.mirrored(np.arange(-9, 14), 5)[i] == v for i, v in enumerate(itertools.islice(itertools.cycle([0, 1, 2, 3, 4, 3, 2, 1]), 7, 7 + 23)))
+
+
+def test_promoted_pixels_leave_and_pruning_rests():
+    colours = np.full((20, 20, 3), 200.0)
+    mask, matte = np.zeros((20, 20), bool), np.zeros((20, 20))
+    mask[5:15, 5:9] = True
+    matte[mask] = 1.0
+    colours[mask] = 10.0
+    mask[10, 15], matte[10, 15] = True, 0.2  # background colour: promoted
+    mask[3, 15], matte[3, 15], colours[3, 15] = True, 0.2, 10.0  # ink colour: an accent
+
+    def render(matte, mask):
+        return np.where(mask, 255, 0).astype(np.uint8)
+
+    assert stencils.promoted_singletons(render(matte, mask), matte, mask, colours) == [(10, 15)]
+    m, k, n = stencils.pruned_to_rest(matte, mask, render, colours)
+    assert n == 1 and not k[10, 15] and k[3, 15] and m[10, 15] == 0
+    with pytest.raises(RuntimeError):
+        stencils.pruned_to_rest(matte, mask, lambda a, b: render(matte, mask), colours)
+
+
+def test_matte_report():
+    a = np.zeros((12, 12), np.uint8)
+    a[2:6, 2:6] = 255
+    support = a > 0
+    assert stencils.matte_report(a, a, support)["topology"]
+    b = a.copy()
+    b[9, 9] = 255
+    r = stencils.matte_report(b, a, support)
+    assert not r["topology"] and r["outside"] == 1 and r["components"] == 2
+
+
+def test_text_styles():
+    image = np.full((40, 40, 3), 250, np.uint8)
+    mask = np.zeros((40, 40), bool)
+    mask[8:32, 8:32] = True
+    image[mask] = (200, 0, 0)
+    inner = np.zeros((40, 40), bool)
+    inner[11:29, 11:29] = True
+    image[inner] = (0, 0, 120)
+    s = raster.text_style(image, mask)
+    assert s["fill"] == (0, 0, 120) and s["stroke"] == (200, 0, 0) and s["stroke_width"] > 1
+    assert raster.text_style(image, inner)["stroke"] is None
