@@ -232,8 +232,10 @@ def test_promoted_pixels_leave_and_pruning_rests():
     assert stencils.promoted_singletons(render(matte, mask), matte, mask, colours) == [(10, 15)]
     m, k, n = stencils.pruned_to_rest(matte, mask, render, colours)
     assert n == 1 and not k[10, 15] and k[3, 15] and m[10, 15] == 0
+    for y in (12, 17):  # three in all are over the cap
+        mask[y, 17], matte[y, 17] = True, 0.2
     with pytest.raises(RuntimeError):
-        stencils.pruned_to_rest(matte, mask, lambda a, b: render(matte, mask), colours)
+        stencils.pruned_to_rest(matte, mask, render, colours)
 
 
 def test_matte_report():
