@@ -32,18 +32,16 @@ def weighted_vote(readings: DataFrame, cluster: str = "cluster") -> DataFrame:
     """The winning text of each cluster of (text, engine, confidence).
 
     A reading weighs its confidence, 0.05 at least, times 1 for the primary engine or 0.82 for others. Votes are rounded to nine decimals, so that equal sums stay
-    equal in any order of addition; ties go to more engines, then to the larger text. Partial sums by (cluster, text, engine) precede the shuffle.
+    equal in any order of addition; ties go to more engines, then to the larger text. Partial sums by (cluster, text) precede the shuffle.
     """
     weight = F.when(F.col("engine").startswith("paddle"), 1.0).otherwise(0.82)
-    by_engine = readings.groupBy(cluster, "text", "engine").agg(
-        F.sum(F.greatest(F.lit(0.05), F.col("confidence")) * weight).alias("votes"), F.max("confidence").alias("best")
-    )
-    by_text = by_engine.groupBy(cluster, "text").agg(
-        F.round(F.sum("votes"), 9).alias("votes"),
-        F.count(F.lit(1)).alias("engines"),
-        F.max("best").alias("strongest"),
-        F.max(F.when(F.col("engine") == PADDLE, F.col("best"))).alias("paddle"),
-        F.max(F.when(F.col("engine") == TESSERACT, F.col("best"))).alias("tesseract"),
+    best = lambda engine: F.max(F.when(F.col("engine") == engine, F.col("confidence")))
+    by_text = readings.groupBy(cluster, "text").agg(
+        F.round(F.sum(F.greatest(F.lit(0.05), F.col("confidence")) * weight), 9).alias("votes"),
+        F.size(F.collect_set("engine")).cast("long").alias("engines"),  # a handful of names
+        F.max("confidence").alias("strongest"),
+        best(PADDLE).alias("paddle"),
+        best(TESSERACT).alias("tesseract"),
     )
     # max over a struct combines before the shuffle; a window would sort every reading
     best = by_text.groupBy(cluster).agg(F.max(F.struct("votes", "engines", "text", "strongest", "paddle", "tesseract")).alias("w"))
