@@ -197,22 +197,22 @@ def wide_simhash(texts: list, width: int = 5, words: int = 4, seed: int = 42) ->
     return np.array([majority(shingle_hashes(t, width, seed), keys) for t in texts], np.uint64).reshape(len(texts), words)
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, recall: float = 0.99, slice_rows: int = 1024) -> DataFrame:
-    """(key, component_id): documents whose sets of five-word shingles are alike by ``similarity`` (Jaccard) or more, as 256 SimHash bits show it, and what they connect; rows as near_duplicates() has them.
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bits: int = 512, recall: float = 0.99, slice_rows: int = 1024) -> DataFrame:
+    """(key, component_id): documents whose sets of five-word shingles are alike by ``similarity`` (Jaccard) or more, as ``bits`` SimHash bits show it, and what they connect; rows as near_duplicates() has them.
 
-    Bits differ with the angle between two shingle vectors: alike by J, the share acos(2 J / (1 + J)) / pi of them. Fingerprints link within that share plus a standard deviation and a quarter. So many bits
+    Bits differ with the angle between two shingle vectors: alike by J, the share acos(2 J / (1 + J)) / pi of them. Fingerprints link within that share plus a standard deviation. So many bits
     can't be cut into blocks of which one is sure to agree; instead each of several tries is entered at a random choice of bits, as many as keep subtrees small for the number of fingerprints, with as many tries as find
     a pair at the threshold with probability ``recall`` (more alike pairs, and those of larger groups, more surely).
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     kind = dict(docs.dtypes)[key]
-    words = [f"w{i}" for i in range(4)]
+    words = [f"w{i}" for i in range(bits // 64)]
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    budget = round(256 * angle + 1.25 * math.sqrt(256 * angle * (1 - angle)))
+    budget = round(bits * angle + math.sqrt(bits * angle * (1 - angle)))
 
     def prints(texts: list) -> dict:
-        f = wide_simhash(texts, width).view(np.int64)
+        f = wide_simhash(texts, width, len(words)).view(np.int64)
         return {w: np.ascontiguousarray(f[:, i]) for i, w in enumerate(words)}
 
     fps = written(map_text(docs, prints, f"`{key}` {kind}, " + ", ".join(f"{w} long" for w in words), keep=[key], text=text, budget=1 << 17).withColumn("id", F.xxhash64(*words)), "wide-fingerprints")
@@ -222,7 +222,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     tries = math.ceil(math.log(1 - recall) / math.log(1 - (1 - angle) ** depth))
     rng = random.Random(5)
     masks = [sum(1 << b for b in rng.sample(range(64), depth)) for _ in range(tries)]
-    tops = F.array(*[F.struct(F.lit(k).alias("trie"), F.col(words[k % 4]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("top")) for k, m in enumerate(masks)])
+    tops = F.array(*[F.struct(F.lit(k).alias("trie"), F.col(words[k % len(words)]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("top")) for k, m in enumerate(masks)])
     rows = classes.select(*words, F.explode(tops).alias("g")).select(*words, "g.trie", "g.top")
     member = components(written(_joined(rows, words, budget, slice_rows), "wide-links"))
     whole = written(classes.join(member, classes.id == member.node, "left").select("id", "least", F.coalesce("component", "id").alias("root")), "wide-members")
