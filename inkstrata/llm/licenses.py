@@ -71,8 +71,6 @@ class Matcher:
         """df: in how many of the lines each word of the vocabulary occurs."""
         self.idf = np.log((1 + lines) / (1 + df)) + 1e-6
         self.unknown = float(np.log(1 + lines)) + 1e-6
-        # a word points at a licence if few lines have it
-        self.telling = df <= max(2, 0.01 * lines)
         vectors = np.zeros((len(self.names), len(self.vocabulary)))
         for k, w in enumerate(self.words):
             np.add.at(vectors[k], np.searchsorted(self.vocabulary, w), 1)
@@ -95,30 +93,52 @@ class Matcher:
         k = int(near.argmax())
         return min(1.0, float(near[k])), k
 
-    def best(self, texts: list) -> tuple[list, list, list]:
-        """For each whole text the best licence of any run of lines (None without a telling word), its cosine, and the share of the text's words in that run."""
+    def reaching(self, hashes: np.ndarray, offsets: np.ndarray, least: float) -> Iterator[tuple[int, int, float]]:
+        """(first line, line behind the last, bound) of the runs whose cosine may be ``least`` or more. The bound takes unknown words as all different: with repeats the cosine is lower."""
+        n, size = len(offsets) - 1, len(self.vocabulary)
+        at = self.places(hashes)
+        for start in range(0, n, 2048):  # long texts in pieces
+            stop = min(n, start + 2048)
+            end = min(n, stop + SPANS[-1] - 1)
+            line = np.searchsorted(offsets, np.arange(offsets[start], offsets[end]), "right") - start
+            counts = np.zeros((end - start + 1, size + 1))
+            np.add.at(counts, (line, at[offsets[start] : offsets[end]]), 1)  # -1, the last column: unknown words
+            counts = np.cumsum(counts, axis=0)
+            lo = np.arange(stop - start)
+            bounds = np.zeros((len(lo), len(SPANS)))
+            for k, span in enumerate(SPANS):
+                run = counts[np.minimum(lo + span, end - start)] - counts[lo]
+                bag = run[:, :-1] * self.idf
+                norm = np.sqrt((bag * bag).sum(axis=1) + run[:, -1] * self.unknown**2)
+                bounds[:, k] = (bag @ self.vectors.T).max(axis=1) / np.where(norm > 0, norm, 1)
+            for i, k in np.argwhere(bounds >= least - 1e-9).tolist():
+                if k == 0 or i + start + SPANS[k - 1] < n:  # else a shorter span has the same lines
+                    yield i + start, min(n, i + start + SPANS[k]), float(bounds[i, k])
+
+    def best(self, texts: list, least: float) -> tuple[list, list, list]:
+        """For each whole text the best licence of any run of lines (None if no run's cosine is ``least``), its cosine, and the share of the text's words in that run.
+
+        Texts are skipped only where no run can reach ``least``, however frequent its words are: a cosine is at most the norm of that part of the template's vector whose words the text has.
+        """
         hashes, offsets = word_hashes(texts)
         at = self.places(hashes)
-        telling = (at >= 0) & self.telling[np.maximum(at, 0)]
-        hit = np.add.reduceat(np.append(telling, False), offsets[:-1], dtype=np.int64) * (np.diff(offsets) > 0) if len(offsets) > 1 else np.zeros(0)
+        known = np.flatnonzero(at >= 0)
+        held = np.zeros((len(texts), len(self.vocabulary)))
+        held[np.searchsorted(offsets, known, "right") - 1, at[known]] = 1
+        part = held @ (self.vectors**2).T
         names: list = [None] * len(texts)
         scores = [0.0] * len(texts)
         shares = [0.0] * len(texts)
-        for i in np.flatnonzero(hit):
-            lines = texts[i].split("\n")
-            h, o = word_hashes(lines)
-            a = self.places(h)
-            with_hit = np.flatnonzero(np.add.reduceat(np.append((a >= 0) & self.telling[np.maximum(a, 0)], False), o[:-1], dtype=np.int64) * (np.diff(o) > 0))
-            done: set[tuple[int, int]] = set()
-            for line in with_hit.tolist():
-                for span in SPANS:
-                    lo, hi = line, min(len(lines), line + span)
-                    if (lo, hi) in done:
-                        continue
-                    done.add((lo, hi))
-                    score, k = self.cosine(h[o[lo] : o[hi]])
-                    if score > scores[i] + 1e-12:
-                        names[i], scores[i], shares[i] = self.names[k], score, float((o[hi] - o[lo]) / max(1, o[-1]))
+        for i in np.flatnonzero((part >= least * least - 1e-9).any(axis=1)):
+            h, o = word_hashes(texts[i].split("\n"))
+            for lo, hi, bound in self.reaching(h, o, least):
+                if bound < scores[i] - 1e-9:
+                    continue
+                score, k = self.cosine(h[o[lo] : o[hi]])
+                if score >= least and score > scores[i] + 1e-12:
+                    names[i], scores[i], shares[i] = self.names[k], score, float((o[hi] - o[lo]) / max(1, o[-1]))
+                    if score == 1:
+                        break
         return names, scores, shares
 
 
@@ -154,7 +174,7 @@ def scan(files: DataFrame, *, key: str = "doc_id", path: str = "path", text: str
     file (the nearest counts); else ``none``, with a null license. score is the cosine, the licence file's where inherited. A file speaks for its directory if its name is that of a licence file or
     if ``whole`` of its words belong to the matched lines; of several, the one with the highest score, then the first license by name. Null or empty paths are in the root ""; null and empty texts
     have no license of their own. Repeated rows stay; columns besides these go; an empty table gives none.
-    IDF counts the lines of all files. Directories, not files, look their ancestors up, so no ancestor meets all files below it.
+    IDF counts the lines of all files and only weighs words: runs begin at any line, however common its words are. Directories, not files, look their ancestors up, so no ancestor meets all files below it.
     """
     spark = files.sparkSession
     arrow_batches(spark)
@@ -164,7 +184,7 @@ def scan(files: DataFrame, *, key: str = "doc_id", path: str = "path", text: str
     kinds = dict(files.dtypes)
 
     def match(texts: list) -> dict:
-        names, scores, shares = sent.value.best(texts)
+        names, scores, shares = sent.value.best(texts, least)
         return {"license": names, "score": scores, "share": shares}
 
     where = F.regexp_replace(F.coalesce(F.col(path), F.lit("")), r"^/+|/+$", "")

@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from inkstrata.llm import licenses
 from inkstrata.llm.queries import QUERIES
 
@@ -37,5 +41,37 @@ def test_query_finds_each_planted_line(spark, sf):
         assert (r.origin == "own") == bool(planted) and (r.origin != "own" or r.license in planted)
 
 
+def test_notices_on_many_lines(spark):
+    def found(rows):
+        return {r.doc_id: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, DDL)).collect()}
+
+    # half of all lines are a notice; the other half has words of templates too
+    common = [(i, f"d{i}/x", "Licensed under the Apache License, Version 2.0.\nthe software of the year" if i % 3 else "plain words\nthe use of it") for i in range(300)]
+    common += [(i, f"d{i}/x", "Licensed under the Apache License, Version 2.0.") for i in range(300, 500)]
+    got = found(common)
+    assert all(got[i] == (("Apache-2.0", "own") if i >= 300 or i % 3 else (None, "none")) for i in got)
+    # a small table of one notice only
+    assert set(found([(i, f"d{i}/x", "Released under the MIT License.") for i in range(3)]).values()) == {("MIT", "own")}
+
+
+def test_runs_against_brute_force():
+    m = licenses.Matcher(licenses.TEMPLATES)
+    rng = random.Random(4)
+    pieces = [x for t in licenses.TEMPLATES.values() for x in t] + ["", "some words", "the License of the year", "mit mit mit"]
+    texts = []
+    for _ in range(60):
+        words = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 4))).split()
+        texts.append("".join(w + rng.choice([" "] * 6 + ["\n", "\n\n", " odd "]) for w in words))
+    texts[0] = "x\n" * 2040 + licenses.TEMPLATES["MIT"][2].replace(" ", "\n", 12) + "\ny" * 30  # a run over the edge of two pieces
+    lines = [x for t in texts for x in t.split("\n")]
+    h = [set(m.places(licenses.word_hashes([x])[0]).tolist()) for x in lines]
+    m.weigh(np.array([sum(w in x for x in h) for w in range(len(m.vocabulary))], float), len(lines))
+    names, scores, shares = m.best(texts, 0.75)
+    for text, name, score, share in zip(texts, names, scores, shares, strict=True):
+        rows = text.split("\n")
+        want = max(m.cosine(licenses.word_hashes(["\n".join(rows[i : i + s])])[0])[0] for i in range(len(rows)) for s in licenses.SPANS)
+        assert (name is None and score == share == 0) if want < 0.75 else (name is not None and abs(score - want) < 1e-9 and share > 0)
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], DDL)).count() == 0
