@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -192,13 +192,87 @@ def _joined(rows: DataFrame, words: list[str], budget: int, slice_rows: int) ->
 
 
 def wide_simhash(texts: list, width: int = 5, words: int = 4, seed: int = 42) -> np.ndarray:
-    """n x words fingerprints of 64 bits a word: each shingle's hash is mixed anew for every word. Texts without a word have zeros."""
+    """n x words fingerprints of 64 bits a word: each distinct shingle's hash is mixed anew for every word. Texts without a word have zeros."""
     keys = mix64(np.arange(1, words + 1, dtype=np.uint64))
-    return np.array([majority(shingle_hashes(t, width, seed), keys) for t in texts], np.uint64).reshape(len(texts), words)
+    return np.array([majority(np.unique(shingle_hashes(t, width, seed)), keys) for t in texts], np.uint64).reshape(len(texts), words)
+
+
+class SetIndex:
+    """Sorted sets of hashes, of which those alike to another set are found at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def alike(self, other: np.ndarray, similarity: float) -> np.ndarray:
+        """Positions of the sets whose Jaccard similarity with other is ``similarity`` or more."""
+        lo = np.searchsorted(self.hashes, other)
+        m = np.searchsorted(self.hashes, other, "right") - lo
+        at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero((shared > 0) & (shared >= similarity * (self.sizes + len(other) - shared) - 1e-9))
+
+
+def _by_root(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bool, np.ndarray]]]]:
+    """(root, its rows (id, first, set)) of rows sorted by root, one row at a time."""
+    rows = ((r, i, f, np.frombuffer(s, np.uint64)) for b in batches for r, i, f, s in zip(*(b.column(c).to_pylist() for c in ("root", "id", "first", "s")), strict=True))
+    for root, members in groupby(rows, lambda x: x[0]):
+        yield root, (m[1:] for m in members)
+
+
+def _confirmed(docs: DataFrame, whole: DataFrame, text: str, similarity: float, width: int, seed: int = 42) -> DataFrame:
+    """(id, part) of the classes that exact similarities take out of their root's component: what stays with the root isn't listed.
+
+    whole: id, th (hash of a text of that class), root. Within a component each class is compared with the root's; the others (strays) with one another and with those like the root. The strays
+    of a component are held in one task; the rest, also of very large components, streams by.
+    """
+    crowds = written(whole.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "wide-crowds")
+    linked = written(whole.join(crowds, "root").select("id", "th", "root"), "wide-linked")
+    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")).join(linked, "th").select("id", "root", "text")
+    made = map_text(bodies, lambda texts: {"s": [np.unique(shingle_hashes(t, width, seed)).tobytes() for t in texts]}, "id long, root long, s binary", keep=["id", "root"], text="text", budget=1 << 17)
+    sets = written(made.dropDuplicates(["id"]), "wide-sets")
+
+    def unlike_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for root, members in _by_root(batches):
+            head = SetIndex([next(members)[2]])
+            ids = [i for i, _, s in members if not len(head.alike(s, similarity))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root] * len(ids), pa.int64())], ["id", "root"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for root, members in _by_root(batches):
+            ids: list[int] = []
+            held: list[np.ndarray] = []
+            index = None
+            for i, stray, s in members:
+                if stray:
+                    ids.append(i)
+                    held.append(s)
+                    continue
+                if index is None:
+                    index = SetIndex(held)
+                    near = [(np.full(len(j), k), j) for k, t in enumerate(held) for j in [index.alike(t, similarity)]]
+                    group = spanning(len(ids), iter(near))
+                    joins = np.zeros(len(ids), bool)  # by the group's first position
+                if not joins[group].all():
+                    joins[group[index.alike(s, similarity)]] = True
+            ids_ = np.array(ids, np.int64)
+            out = ~joins[group]
+            yield pa.RecordBatch.from_arrays([pa.array(ids_[out]), pa.array(ids_[group[out]])], ["id", "part"])
+
+    heads = sets.select("root", "id", (F.col("id") == F.col("root")).alias("first"), "s")
+    strays = written(heads.repartition("root").sortWithinPartitions("root", F.desc("first")).mapInArrow(trimmed(unlike_root), "id long, root long"), "wide-strays")
+    mixed = sets.join(strays.select("root").distinct(), "root", "left_semi").join(strays.select("id", F.lit(True).alias("stray")), "id", "left")
+    mixed = mixed.select("root", "id", F.coalesce("stray", F.lit(False)).alias("first"), "s")
+    return written(mixed.repartition("root").sortWithinPartitions("root", F.desc("first")).mapInArrow(trimmed(parts), "id long, part long"), "wide-parts")
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bits: int = 512, recall: float = 0.99, slice_rows: int = 1024) -> DataFrame:
-    """(key, component_id): documents whose sets of five-word shingles are alike by ``similarity`` (Jaccard) or more, as ``bits`` SimHash bits show it, and what they connect; rows as near_duplicates() has them.
+    """(key, text_hash, group, component_id): documents whose sets of five-word shingles are alike by ``similarity`` (Jaccard) or more, and what they connect; rows as near_duplicates() has them.
+
+    ``bits`` SimHash bits of the distinct shingles propose links; exact similarities of the linked texts decide. group is the component's own number, also where two components share their least key;
+    text_hash is the XXH64 of the text (of "" for a null): key and text_hash name a row's result.
 
     Bits differ with the angle between two shingle vectors: alike by J, the share acos(2 J / (1 + J)) / pi of them. Fingerprints link within that share plus a standard deviation. So many bits
     can't be cut into blocks of which one is sure to agree; instead each of several tries is entered at a random choice of bits, as many as keep subtrees small for the number of fingerprints, with as many tries as find
@@ -211,12 +285,14 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     budget = round(bits * angle + math.sqrt(bits * angle * (1 - angle)))
 
+    hashed = docs.select(key, text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+
     def prints(texts: list) -> dict:
         f = wide_simhash(texts, width, len(words)).view(np.int64)
         return {w: np.ascontiguousarray(f[:, i]) for i, w in enumerate(words)}
 
-    fps = written(map_text(docs, prints, f"`{key}` {kind}, " + ", ".join(f"{w} long" for w in words), keep=[key], text=text, budget=1 << 17).withColumn("id", F.xxhash64(*words)), "wide-fingerprints")
-    classes = written(fps.groupBy("id", *words).agg(F.min(key).alias("least")), "wide-classes")
+    fps = written(map_text(hashed, prints, f"`{key}` {kind}, text_hash long, " + ", ".join(f"{w} long" for w in words), keep=[key, "text_hash"], text=text, budget=1 << 17).withColumn("id", F.xxhash64(*words)), "wide-fingerprints")
+    classes = written(fps.groupBy("id", *words).agg(F.min(key).alias("least"), F.min("text_hash").alias("th")), "wide-classes")
     n = classes.count()
     depth = max(14, math.ceil(math.log2(max(n, 2))) - 4)
     tries = math.ceil(math.log(1 - recall) / math.log(1 - (1 - angle) ** depth))
@@ -225,10 +301,11 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     tops = F.array(*[F.struct(F.lit(k).alias("trie"), F.col(words[k % len(words)]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("top")) for k, m in enumerate(masks)])
     rows = classes.select(*words, F.explode(tops).alias("g")).select(*words, "g.trie", "g.top")
     member = components(written(_joined(rows, words, budget, slice_rows), "wide-links"))
-    whole = written(classes.join(member, classes.id == member.node, "left").select("id", "least", F.coalesce("component", "id").alias("root")), "wide-members")
+    whole = written(classes.join(member, classes.id == member.node, "left").select("id", "least", "th", F.coalesce("component", "id").alias("root")), "wide-members")
+    whole = written(whole.join(_confirmed(docs, whole, text, similarity, width), "id", "left").select("id", "least", F.coalesce("part", "root").alias("root")), "wide-confirmed")
     roots = written(whole.groupBy("root").agg(F.min("least").alias("component_id")), "wide-components")
-    found = written(whole.select("id", "root").join(roots, "root").select("id", "component_id"), "wide-found")
-    return fps.select(key, "id").join(found, "id").select(key, "component_id")
+    found = written(whole.select("id", "root").join(roots, "root").select("id", F.col("root").alias("group"), "component_id"), "wide-found")
+    return fps.select(key, "text_hash", "id").join(found, "id").select(key, "text_hash", "group", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:

@@ -133,3 +133,32 @@ def test_alike_rows_of_every_kind(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (None, None), (5, 5)], key=str)
     assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_repeated_lines_neither_link_nor_part(spark):
+    rng = random.Random(7)
+    line = "the same line over and over "
+    own = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(200)) + " " for _ in range(3)]
+    rows = [(1, own[0] + line), (2, own[0] + line * 20), (3, own[1] + line * 60), (4, own[2] + line * 60)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_links_are_confirmed_exactly(spark):
+    rng = random.Random(8)
+    rows, word = [], iter(f"u{i}" for i in range(10**6))
+    for f in range(40):
+        text = [next(word) for _ in range(104)]
+        for _ in range(6):  # a drifting family: neighbours near the threshold on either side
+            rows.append((len(rows), " ".join(text)))
+            for at in rng.sample(range(2, 100, 6), rng.choice([1, 2, 3])):
+                text[at] = next(word)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = list(range(len(rows)))
+    for _ in rows:
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if a // 6 == b // 6 and want[a] != want[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want = [min(want[a], want[b]) if x in (want[a], want[b]) else x for x in want]
+    assert all(want[a] == want[got[a]] for a in got)  # nothing linked that exact similarities don't connect
+    assert sum(got[a] == want[a] for a in got) >= 0.95 * len(rows)
