@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from tests.llm.test_pii import base
 
@@ -60,3 +61,19 @@ def test_odd_documents(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
     assert p.run(spark, empty).count() == 0
+
+
+def test_null_and_repeated_ids_by_row(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}x".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(n))
+    item, clean, twice, other, copy = (prose(60) for _ in range(5))
+    leaking, private = prose(40) + " " + item + " " + prose(40), prose(8) + " jane.doe@example.org " + prose(40)
+    rows = [(None, clean), (None, leaking), (None, private), (7, twice), (7, twice), (7, other), (8, copy), (None, copy)]
+    d = str(tmp_path)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, stage in p.STAGES[1:4]:
+        docs = written(stage(spark, docs, d), "stage")
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in docs.collect()), key=str)
+    want = [(None, clean), (None, private.replace("jane.doe@example.org", "[EMAIL]")), (7, twice), (7, other), (8, copy)]
+    assert got == sorted([(k, t, len(t)) for k, t in want], key=str)
