@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, html_text, langid, licenses, pii, sentencepiece_codec, simhash, toxicity, warc
 from .common import held_out, table
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+def piece_model() -> str:
+    """The public model file that the SentencePiece query is defined by."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), piece_model())
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

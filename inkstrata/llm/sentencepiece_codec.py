@@ -4,27 +4,40 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import arrow_batches, map_text
+from .common import arrow_batches, trimmed, written
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+_ODD = re.compile(f"{MARK}|\\A | \\Z|  ")
 
 
-class ChunkTable:
-    """Segments each distinct chunk once and joins the ids back by position.
+def chunks(text: str) -> list[str]:
+    """The chunks of a text in order, each without its first marker: a chunk is a run of whitespace markers and the characters up to the next marker."""
+    if not text:
+        return []
+    if not _ODD.search(text):
+        return text.split(" ")
+    return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+
 
-    A chunk is a run of whitespace markers and the characters up to the next marker. No piece of the vocabulary holds a marker
-    after another character (checked here), so no merge crosses from one chunk to the next, and a text's ids are its chunks' ids in a row.
-    The table holds two generations of ``most`` chunks. When the young one is full, the old one goes and the young one grows old; chunks that occur again are taken over.
-    Memory stays bounded, frequent chunks stay, and only rare ones may be segmented anew.
+class Segmenter:
+    """The library's ids of single chunks, and what they decode to.
+
+    No piece of the vocabulary holds a marker after another character (checked here), so no merge crosses from one chunk to the next: a text's ids are its chunks'
+    ids in a row, and as every chunk begins with a marker, what they decode to is what its chunks decode to in a row, but for the first marker.
     """
 
-    def __init__(self, model_file: str, most: int = 40_000) -> None:
+    def __init__(self, model_file: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -33,81 +46,167 @@ class ChunkTable:
             raise ValueError("pieces of this model cross whitespace markers; its chunks can't be segmented alone")
         if self.model.encode("a  b") + [] != self.model.encode("a") + self.model.encode(" b"):
             raise ValueError("this model's normaliser changes whitespace; its chunks can't be segmented alone")
-        self.most = most
         self.mark_id = self.model.piece_to_id(MARK)
-        self.young: dict[str, tuple[array, str]] = {}
-        self.old: dict[str, tuple[array, str]] = {}
-
-    def rows(self, chunks: set[str]) -> dict[str, tuple[array, str]]:
-        """The ids of each chunk, as numbers and joined by spaces."""
-        found: dict[str, tuple[array, str]] = {}
-        new = []
-        for c in chunks:
-            row = self.young.get(c) or self.old.get(c)
-            if row:
-                found[c] = row
-            else:
-                new.append(c)
-        # the model puts one marker in front, so the chunk goes in without its first
-        for chunk, ids in zip(new, self.model.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1), strict=True):
-            if chunk == MARK:
-                ids = [self.mark_id]
-            found[chunk] = array("i", ids), " ".join(map(str, ids))
-        self.young.update(found)
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        return found
-
-    def chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return _CHUNK.findall(MARK + text.replace(" ", MARK))
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of one text, with the end id."""
-        chunks = self.chunks(text)
-        rows = self.rows(set(chunks))
-        return [i for c in chunks for i in rows[c][0]] + [self.model.eos_id()]
-
-    def decode(self, ids: list[int]) -> str:
-        return self.model.decode(ids)
-
-
-def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+        self.eos = self.model.eos_id()
+
+    def rows(self, keys: list[str]) -> tuple[list[str], list[str]]:
+        """The ids of each chunk, joined by spaces, and what it decodes to, with the space of its marker."""
+        # the model puts one marker in front: that which the chunk lacks
+        ids = [i if k else [self.mark_id] for k, i in zip(keys, self.model.encode([k.replace(MARK, " ") for k in keys], num_threads=1), strict=True)]
+        return [" ".join(map(str, i)) for i in ids], self.model.decode([[self.mark_id, *i] for i in ids], num_threads=1) if ids else []
+
+
+class ChunkTable:
+    """Rows of distinct chunks, from which whole texts are put together by position."""
+
+    def __init__(self, model_file: str, eos: int) -> None:
+        self.model_file, self.eos = model_file, eos
+        self.ids: dict[str, str] = {}
+        self.surface: dict[str, str] = {}
+        self.segmenter: Segmenter | None = None
+
+    def add(self, keys: list[str], ids: list[str], surfaces: list) -> None:
+        """surfaces: what the chunks decode to; None where that is the chunk itself."""
+        self.ids.update(zip(keys, ids, strict=True))
+        self.surface.update((k, f" {k.replace(MARK, ' ')}" if s is None else s) for k, s in zip(keys, surfaces, strict=True))
+
+    def whole(self, text: str | None) -> tuple[str, str]:
+        """The text's ids with the end id, joined by spaces, and what they decode to."""
+        keys = chunks(text or "")
+        try:
+            ids = " ".join(map(self.ids.__getitem__, keys))
+        except KeyError:  # rows that came in another order the second time have chunks of other blocks
+            lacking = list(set(keys) - self.ids.keys())
+            self.segmenter = self.segmenter or Segmenter(self.model_file)
+            self.add(lacking, *self.segmenter.rows(lacking))
+            ids = " ".join(map(self.ids.__getitem__, keys))
+        return f"{ids} {self.eos}" if keys else str(self.eos), "".join(map(self.surface.__getitem__, keys))[1:]
+
+
+class Blocks:
+    """Numbers texts in the order they come in a task: a block is full with ``most`` characters, and a longer text has one of its own."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.filled = most, 0
+        self.number = TaskContext.get().partitionId() << 32
+
+    def of(self, size: int) -> int:
+        if self.filled and self.filled + size > self.most:
+            self.number, self.filled = self.number + 1, 0
+        self.filled += size + 16
+        return self.number
+
+
+def chunk_table(docs: DataFrame, model_file: str, text: str, block_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks, table): the distinct chunks of each block of texts, and each distinct chunk of all of them with its ids and surface (null where that is the chunk itself), segmented once."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = Blocks(block_chars)
+        at, held = place.number, set()
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], "int64"), pa.array([list(held)], pa.list_(pa.string()))], ["block", "chunks"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                t = value.as_py() or ""
+                block = place.of(len(t))
+                if block != at:
+                    if held:
+                        yield flush()
+                    at, held = block, set()
+                held.update(chunks(t))
+        if held:
+            yield flush()
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = None
+        for batch in batches:
+            segmenter = segmenter or Segmenter(model_file)
+            keys = batch.column(0).to_pylist()
+            ids, surfaces = segmenter.rows(keys)
+            surfaces = [None if s == " " + k.replace(MARK, " ") else s for k, s in zip(keys, surfaces, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, "string"), pa.array(surfaces, "string")], ["chunk", "ids", "surface"])
+
+    blocks = written(docs.select(text).mapInArrow(trimmed(gather), "block long, chunks array<string>"), "chunk-blocks")
+    distinct = blocks.select(F.explode("chunks").alias("chunk")).distinct()
+    return blocks, written(distinct.mapInArrow(trimmed(segment), "chunk string, ids string, surface string"), "chunk-table")
+
+
+def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, block_chars: int = 1 << 21) -> DataFrame:
     """Every text's ids (end id only, no sampling) and what they decode to.
 
     Columns: ``keep``, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids and decoded.
     A null or empty text has the end id alone and decodes to "". Repeated rows stay; columns besides ``keep`` go. An empty table gives none.
+
+    Texts are counted off in blocks of ``block_chars`` characters as they come. The distinct chunks of every block (a combining step before any shuffle) make the table of the distinct chunks of
+    all texts, each of which is segmented once. The table is joined back to the blocks' chunks by plain tables on both sides (adaptive execution can split a frequent chunk), and
+    meets the blocks' texts, compressed, in one shuffle; a task holds the rows of one block, never the table. If the source gives its rows in another order the second time, a text may lack rows in
+    its block: those chunks are segmented on the spot, so the result never depends on it.
     """
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if with_ids else [])])
-
-    def build() -> Callable[[list], dict]:
-        held: dict[str, ChunkTable] = {}
-
-        def run(texts: list) -> dict:
-            table = held.get("t") or held.setdefault("t", ChunkTable(model_file))
-            end = table.model.eos_id()
-            split = [table.chunks(t or "") for t in texts]
-            rows = table.rows(set().union(*split))
-            made: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-            flat: list[list[int]] = []
-            for chunks in split:
-                parts = [rows[c] for c in chunks]
-                ids = array("i")
-                for p, _ in parts:
-                    ids += p
-                ids.append(end)
-                made["n_tokens"].append(len(ids))
-                made["ids_sha256"].append(hashlib.sha256(" ".join([*(j for _, j in parts), str(end)]).encode()).hexdigest())
-                flat.append(ids.tolist())
-            decoded = table.model.decode(flat, num_threads=1)
-            made["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
-            if with_ids:
-                made |= {"ids": flat, "decoded": decoded}
-            return made if with_ids else {k: v for k, v in made.items() if k not in ("ids", "decoded")}
-
-        return run
-
-    return map_text(docs, build(), schema, keep=list(keep), text=text)
+    eos = Segmenter(model_file).eos
+    blocks, table = chunk_table(docs, model_file, text, block_chars)
+    rows = blocks.select("block", F.explode("chunks").alias("chunk")).join(table, "chunk")
+
+    names = [f"k{i}" for i in range(len(keep))]
+    kept = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True))
+    packed_ddl = f"block long, {kept}, z binary" if keep else "block long, z binary"
+    packed_schema = to_arrow_schema(StructType.fromDDL(packed_ddl))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        place = Blocks(block_chars)
+        for batch in batches:
+            of: list[int] = []
+            packed: list[bytes] = []
+            for value in batch.column(len(names)):
+                t = value.as_py() or ""
+                of.append(place.of(len(t)))
+                packed.append(packer.compress(t.encode("utf-8", "surrogatepass")))
+            columns = [pa.array(of, "int64"), *(batch.column(i).cast(packed_schema.field(n).type) for i, n in enumerate(names)), pa.array(packed, "binary")]
+            yield pa.RecordBatch.from_arrays(columns, schema=packed_schema)
+
+    texts = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("t")).mapInArrow(trimmed(pack), packed_ddl)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    both = rows.select("block", "chunk", "ids", "surface", *[none(n, kinds[c]) for n, c in zip(names, keep, strict=True)], none("z", "binary")).unionAll(
+        texts.select("block", none("chunk", "string"), none("ids", "string"), none("surface", "string"), *names, "z")
+    )
+    out_ddl = ", ".join([*([kept] if keep else []), "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if with_ids else [])])
+    out_schema = to_arrow_schema(StructType.fromDDL(out_ddl))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        reader = zstandard.ZstdDecompressor()
+        at, held = None, ChunkTable(model_file, eos)
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            is_text = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1]), [True]))) if len(block) else []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if block[lo] != at:
+                    at, held = block[lo], ChunkTable(model_file, eos)
+                if not is_text[lo]:
+                    held.add(*(part.column(i).to_pylist() for i in (1, 2, 3)))
+                    continue
+                made: dict[str, list] = {f.name: [] for f in out_schema if f.name not in names}
+                for z in part.column(4 + len(names)):
+                    ids, decoded = held.whole(reader.decompress(z.as_py()).decode("utf-8", "surrogatepass"))
+                    made["n_tokens"].append(ids.count(" ") + 1)
+                    made["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                    made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_ids:
+                        made["ids"].append(np.fromstring(ids, np.int32, sep=" "))
+                        made["decoded"].append(decoded)
+                passed = {n: part.column(4 + i).cast(out_schema.field(n).type) for i, n in enumerate(names)}
+                yield pa.RecordBatch.from_arrays([passed[f.name] if f.name in passed else pa.array(made[f.name], f.type) for f in out_schema], schema=out_schema)
+
+    dealt = both.repartition("block").sortWithinPartitions("block", F.col("chunk").isNull())
+    out = dealt.mapInArrow(trimmed(unite), out_ddl)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[f.name for f in out_schema if f.name not in names])

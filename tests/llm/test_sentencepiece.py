@@ -4,11 +4,14 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkstrata.llm import sentencepiece_codec as codec
-from inkstrata.llm.queries import QUERIES, TOKENIZERS
+from inkstrata.llm.queries import QUERIES, piece_model
 
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+MODEL = piece_model()
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+SEGMENTER = codec.Segmenter(MODEL)
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +22,11 @@ def library():
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=" \n\t▁abé😀</s>.,0　\x00\r中", max_size=30))
 def test_same_ids_as_the_library(text):
-    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    table = codec.ChunkTable(MODEL, most=5)
-    ids = model.encode(text, add_eos=True)
-    assert table.encode(text) == ids and table.decode(ids) == model.decode(ids)
+    ids = LIBRARY.encode(text, add_eos=True)
+    table = codec.ChunkTable(MODEL, LIBRARY.eos_id())
+    table.segmenter = SEGMENTER
+    got, decoded = table.whole(text)
+    assert got == " ".join(map(str, ids)) and decoded == LIBRARY.decode(ids)
 
 
 def test_query(spark, sf, library):
@@ -43,3 +47,21 @@ def test_odd_tables(spark, library):
     (r,) = [r for r in out if r.doc_id == 2]
     assert list(r.ids) == library.encode(long, add_eos=True) and r.decoded == library.decode(list(r.ids))
     assert codec.encode_texts(docs.limit(0), MODEL).count() == 0
+
+
+def test_table_has_each_chunk_once(spark):
+    rows = [(i, " ".join(f"w{j % 7}" for j in range(i)) + ("  two▁marks" if i % 3 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks, table = codec.chunk_table(docs, MODEL, "text", 200)
+    assert blocks.count() > 3
+    got = [r.chunk for r in table.collect()]
+    assert len(got) == len(set(got)) and set(got) == {c for _, t in rows for c in codec.chunks(t)}
+    out = {r.doc_id: list(r.ids) for r in codec.encode_texts(docs, MODEL, with_ids=True, block_chars=200).collect()}
+    assert out == {i: LIBRARY.encode(t, add_eos=True) for i, t in rows}
+
+
+def test_extra_columns_and_a_second_order(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of some", i, "c") for i in range(40)], "doc_id string, text string, block long, chunk string")
+    shuffled = docs.withColumn("r", F.rand()).orderBy("r")  # rows come in another order each time
+    got = {r.doc_id: (list(r.ids), r.block, r.chunk) for r in codec.encode_texts(shuffled, MODEL, keep=("doc_id", "block", "chunk"), with_ids=True, block_chars=64).collect()}
+    assert got == {str(i): (LIBRARY.encode(f"text {i} of some", add_eos=True), i, "c") for i in range(40)}
