@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.llm import decontaminate, pii, sentencepiece_codec, simhash, toxicity
 from inkstrata.llm.common import held_out, table, written
-from inkstrata.llm.queries import TOKENIZERS
+from inkstrata.llm.queries import piece_model
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -62,7 +62,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of what they decode to."""
-    return sentencepiece_codec.encode_texts(docs, f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=True).drop("decoded")
+    return sentencepiece_codec.encode_texts(docs, piece_model(), with_ids=True).drop("decoded")
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("pii", mask_pii), ("sentencepiece", encode)]
