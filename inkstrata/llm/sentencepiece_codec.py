@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from .common import arrow_batches, trimmed, written
+from .common import arrow_batches, map_text, trimmed
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -57,156 +55,95 @@ class Segmenter:
 
 
 class ChunkTable:
-    """Rows of distinct chunks, from which whole texts are put together by position."""
-
-    def __init__(self, model_file: str, eos: int) -> None:
-        self.model_file, self.eos = model_file, eos
-        self.ids: dict[str, str] = {}
-        self.surface: dict[str, str] = {}
-        self.segmenter: Segmenter | None = None
-
-    def add(self, keys: list[str], ids: list[str], surfaces: list) -> None:
-        """surfaces: what the chunks decode to; None where that is the chunk itself."""
-        self.ids.update(zip(keys, ids, strict=True))
-        self.surface.update((k, f" {k.replace(MARK, ' ')}" if s is None else s) for k, s in zip(keys, surfaces, strict=True))
-
-    def whole(self, text: str | None) -> tuple[str, str]:
-        """The text's ids with the end id, joined by spaces, and what they decode to."""
-        keys = chunks(text or "")
-        try:
-            ids = " ".join(map(self.ids.__getitem__, keys))
-        except KeyError:  # rows that came in another order the second time have chunks of other blocks
-            lacking = list(set(keys) - self.ids.keys())
-            self.segmenter = self.segmenter or Segmenter(self.model_file)
-            self.add(lacking, *self.segmenter.rows(lacking))
-            ids = " ".join(map(self.ids.__getitem__, keys))
-        return f"{ids} {self.eos}" if keys else str(self.eos), "".join(map(self.surface.__getitem__, keys))[1:]
-
-
-class Blocks:
-    """Numbers texts in the order they come in a task: a block is full with ``most`` characters, and a longer text has one of its own."""
-
-    def __init__(self, most: int) -> None:
-        self.most, self.filled = most, 0
-        self.number = TaskContext.get().partitionId() << 32
-
-    def of(self, size: int) -> int:
-        if self.filled and self.filled + size > self.most:
-            self.number, self.filled = self.number + 1, 0
-        self.filled += size + 16
-        return self.number
-
-
-def chunk_table(docs: DataFrame, model_file: str, text: str, block_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(blocks, table): the distinct chunks of each block of texts, and each distinct chunk of all of them with its ids and surface (null where that is the chunk itself), segmented once."""
+    """Rows of distinct chunks, from which whole texts are put together by position: the frequent ones of the corpus, and those of the block of texts at hand."""
+
+    def __init__(self, segmenter: Segmenter, frequent: tuple[list[str], list[str], list[str]] = ((), (), ()), most: int = 1 << 25) -> None:
+        self.segmenter, self.most = segmenter, most
+        self.shared = dict(zip(frequent[0], frequent[1], strict=True)), dict(zip(frequent[0], frequent[2], strict=True))
+        self.begin()
+
+    def begin(self) -> None:
+        self.ids, self.surface = (dict(d) for d in self.shared)
+        self.weight = 0
+
+    def whole(self, texts: list) -> Iterator[tuple[str, str]]:
+        """Each text's ids with the end id, joined by spaces, and what they decode to. Chunks that are new to the block are segmented, once; a table of some ``most`` bytes ends it."""
+        if self.weight > self.most:
+            self.begin()
+        split = [chunks(t or "") for t in texts]
+        fresh = list(set().union(*split) - self.ids.keys())
+        if fresh:
+            ids, surfaces = self.segmenter.rows(fresh)
+            self.ids.update(zip(fresh, ids, strict=True))
+            self.surface.update(zip(fresh, surfaces, strict=True))
+            self.weight += sum(map(len, fresh)) * 4 + 300 * len(fresh)
+        end = str(self.segmenter.eos)
+        for keys in split:
+            yield " ".join([*map(self.ids.__getitem__, keys), end]), "".join(map(self.surface.__getitem__, keys))[1:]
+
+
+def frequent_chunks(docs: DataFrame, model_file: str, text: str, most: int, longest: int = 64) -> tuple[list[str], list[str], list[str]]:
+    """(chunks, ids, surfaces) of the ``most`` chunks that occur most often in all texts, each segmented once. Chunks of over ``longest`` characters and those that a task meets once stay out: the table's size has a bound.
+
+    Counts are combined in the task before the shuffle.
+    """
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Blocks(block_chars)
-        at, held = place.number, set()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], "int64"), pa.array([list(held)], pa.list_(pa.string()))], ["block", "chunks"])
+            found = [(k, n) for k, n in held.items() if n > 1 and len(k) <= longest]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], "string"), pa.array([n for _, n in found], "int64")], ["chunk", "n"])
 
         for batch in batches:
             for value in batch.column(0):
-                t = value.as_py() or ""
-                block = place.of(len(t))
-                if block != at:
-                    if held:
-                        yield flush()
-                    at, held = block, set()
-                held.update(chunks(t))
-        if held:
-            yield flush()
+                held.update(chunks(value.as_py() or ""))
+                if len(held) > 400_000:
+                    yield flush()
+        yield flush()
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = None
         for batch in batches:
-            segmenter = segmenter or Segmenter(model_file)
-            keys = batch.column(0).to_pylist()
-            ids, surfaces = segmenter.rows(keys)
-            surfaces = [None if s == " " + k.replace(MARK, " ") else s for k, s in zip(keys, surfaces, strict=True)]
+            ids, surfaces = Segmenter(model_file).rows(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, "string"), pa.array(surfaces, "string")], ["chunk", "ids", "surface"])
 
-    blocks = written(docs.select(text).mapInArrow(trimmed(gather), "block long, chunks array<string>"), "chunk-blocks")
-    distinct = blocks.select(F.explode("chunks").alias("chunk")).distinct()
-    return blocks, written(distinct.mapInArrow(trimmed(segment), "chunk string, ids string, surface string"), "chunk-table")
+    counts = docs.select(text).mapInArrow(trimmed(count), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "chunk").limit(most).select("chunk")
+    found = top.mapInArrow(trimmed(segment), "chunk string, ids string, surface string").toArrow()
+    return tuple(found[c].to_pylist() for c in ("chunk", "ids", "surface"))
 
 
-def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, block_chars: int = 1 << 21) -> DataFrame:
+def encode_texts(docs: DataFrame, model_file: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, frequent: int = 50_000) -> DataFrame:
     """Every text's ids (end id only, no sampling) and what they decode to.
 
     Columns: ``keep``, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids and decoded.
     A null or empty text has the end id alone and decodes to "". Repeated rows stay; columns besides ``keep`` go. An empty table gives none.
 
-    Texts are counted off in blocks of ``block_chars`` characters as they come. The distinct chunks of every block (a combining step before any shuffle) make the table of the distinct chunks of
-    all texts, each of which is segmented once. The table is joined back to the blocks' chunks by plain tables on both sides (adaptive execution can split a frequent chunk), and
-    meets the blocks' texts, compressed, in one shuffle; a task holds the rows of one block, never the table. If the source gives its rows in another order the second time, a text may lack rows in
-    its block: those chunks are segmented on the spot, so the result never depends on it.
+    The distinct-chunk table has two parts. The ``frequent`` most frequent chunks of the corpus are found by one aggregation, segmented once in all and broadcast (at most so many rows of
+    bounded length). The rest is segmented once for a block of texts, which ends where its table is full; ids are joined back to every text by position. Which part a chunk is in doesn't change its ids.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    eos = Segmenter(model_file).eos
-    blocks, table = chunk_table(docs, model_file, text, block_chars)
-    rows = blocks.select("block", F.explode("chunks").alias("chunk")).join(table, "chunk")
-
-    names = [f"k{i}" for i in range(len(keep))]
-    kept = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True))
-    packed_ddl = f"block long, {kept}, z binary" if keep else "block long, z binary"
-    packed_schema = to_arrow_schema(StructType.fromDDL(packed_ddl))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=1)
-        place = Blocks(block_chars)
-        for batch in batches:
-            of: list[int] = []
-            packed: list[bytes] = []
-            for value in batch.column(len(names)):
-                t = value.as_py() or ""
-                of.append(place.of(len(t)))
-                packed.append(packer.compress(t.encode("utf-8", "surrogatepass")))
-            columns = [pa.array(of, "int64"), *(batch.column(i).cast(packed_schema.field(n).type) for i, n in enumerate(names)), pa.array(packed, "binary")]
-            yield pa.RecordBatch.from_arrays(columns, schema=packed_schema)
-
-    texts = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("t")).mapInArrow(trimmed(pack), packed_ddl)
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    both = rows.select("block", "chunk", "ids", "surface", *[none(n, kinds[c]) for n, c in zip(names, keep, strict=True)], none("z", "binary")).unionAll(
-        texts.select("block", none("chunk", "string"), none("ids", "string"), none("surface", "string"), *names, "z")
-    )
-    out_ddl = ", ".join([*([kept] if keep else []), "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if with_ids else [])])
-    out_schema = to_arrow_schema(StructType.fromDDL(out_ddl))
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        reader = zstandard.ZstdDecompressor()
-        at, held = None, ChunkTable(model_file, eos)
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            is_text = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1]), [True]))) if len(block) else []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                if block[lo] != at:
-                    at, held = block[lo], ChunkTable(model_file, eos)
-                if not is_text[lo]:
-                    held.add(*(part.column(i).to_pylist() for i in (1, 2, 3)))
-                    continue
-                made: dict[str, list] = {f.name: [] for f in out_schema if f.name not in names}
-                for z in part.column(4 + len(names)):
-                    ids, decoded = held.whole(reader.decompress(z.as_py()).decode("utf-8", "surrogatepass"))
-                    made["n_tokens"].append(ids.count(" ") + 1)
-                    made["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                    made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if with_ids:
-                        made["ids"].append(np.fromstring(ids, np.int32, sep=" "))
-                        made["decoded"].append(decoded)
-                passed = {n: part.column(4 + i).cast(out_schema.field(n).type) for i, n in enumerate(names)}
-                yield pa.RecordBatch.from_arrays([passed[f.name] if f.name in passed else pa.array(made[f.name], f.type) for f in out_schema], schema=out_schema)
-
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("chunk").isNull())
-    out = dealt.mapInArrow(trimmed(unite), out_ddl)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[f.name for f in out_schema if f.name not in names])
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_chunks(docs, model_file, text, frequent))
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if with_ids else [])])
+
+    def build() -> Callable[[list], dict]:
+        held: list[ChunkTable] = []
+
+        def run(texts: list) -> dict:
+            if not held:
+                held.append(ChunkTable(Segmenter(model_file), sent.value))
+            made: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], **({"ids": [], "decoded": []} if with_ids else {})}
+            for ids, decoded in held[0].whole(texts):
+                made["n_tokens"].append(ids.count(" ") + 1)
+                made["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                if with_ids:
+                    made["ids"].append(np.fromstring(ids, np.int32, sep=" "))
+                    made["decoded"].append(decoded)
+            return made
+
+        return run
+
+    return map_text(docs, build(), schema, keep=list(keep), text=text)

@@ -4,7 +4,6 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from inkstrata.llm import sentencepiece_codec as codec
 from inkstrata.llm.queries import QUERIES, piece_model
@@ -23,10 +22,9 @@ def library():
 @given(st.text(alphabet=" \n\t▁abé😀</s>.,0　\x00\r中", max_size=30))
 def test_same_ids_as_the_library(text):
     ids = LIBRARY.encode(text, add_eos=True)
-    table = codec.ChunkTable(MODEL, LIBRARY.eos_id())
-    table.segmenter = SEGMENTER
-    got, decoded = table.whole(text)
-    assert got == " ".join(map(str, ids)) and decoded == LIBRARY.decode(ids)
+    table = codec.ChunkTable(SEGMENTER)
+    for got, decoded in table.whole([text, None, text]):
+        assert (got, decoded) in ((" ".join(map(str, ids)), LIBRARY.decode(ids)), ("2", ""))
 
 
 def test_query(spark, sf, library):
@@ -49,19 +47,25 @@ def test_odd_tables(spark, library):
     assert codec.encode_texts(docs.limit(0), MODEL).count() == 0
 
 
-def test_table_has_each_chunk_once(spark):
-    rows = [(i, " ".join(f"w{j % 7}" for j in range(i)) + ("  two▁marks" if i % 3 else "")) for i in range(60)]
+def test_frequent_chunks_are_segmented_once_and_change_nothing(spark):
+    rows = [(i, " ".join(f"w{j % 7}" for j in range(i)) + ("  two▁marks" if i % 3 else "") + "x" * 70) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    blocks, table = codec.chunk_table(docs, MODEL, "text", 200)
-    assert blocks.count() > 3
-    got = [r.chunk for r in table.collect()]
-    assert len(got) == len(set(got)) and set(got) == {c for _, t in rows for c in codec.chunks(t)}
-    out = {r.doc_id: list(r.ids) for r in codec.encode_texts(docs, MODEL, with_ids=True, block_chars=200).collect()}
-    assert out == {i: LIBRARY.encode(t, add_eos=True) for i, t in rows}
-
-
-def test_extra_columns_and_a_second_order(spark):
-    docs = spark.createDataFrame([(i, f"text {i} of some", i, "c") for i in range(40)], "doc_id string, text string, block long, chunk string")
-    shuffled = docs.withColumn("r", F.rand()).orderBy("r")  # rows come in another order each time
-    got = {r.doc_id: (list(r.ids), r.block, r.chunk) for r in codec.encode_texts(shuffled, MODEL, keep=("doc_id", "block", "chunk"), with_ids=True, block_chars=64).collect()}
-    assert got == {str(i): (LIBRARY.encode(f"text {i} of some", add_eos=True), i, "c") for i in range(40)}
+    keys, ids, surfaces = codec.frequent_chunks(docs, MODEL, "text", 5)
+    assert len(keys) == 5 == len(set(keys)) and set(keys) <= {f"w{j}" for j in range(7)}
+    assert [list(map(int, i.split())) for i in ids] == LIBRARY.encode(keys) and surfaces == [f" {k}" for k in keys]
+    want = {i: LIBRARY.encode(t, add_eos=True) for i, t in rows}
+    for most in (1, 50_000):
+        assert {r.doc_id: list(r.ids) for r in codec.encode_texts(docs, MODEL, with_ids=True, frequent=most).collect()} == want
+
+
+def test_blocks_end_and_begin_anew():
+    table = codec.ChunkTable(SEGMENTER, most=0)
+    texts = ["one two one", "two three", "one  two "]
+    got = [ids for t in texts for ids, _ in table.whole([t])]
+    assert got == [" ".join(map(str, LIBRARY.encode(t, add_eos=True))) for t in texts]
+
+
+def test_extra_columns(spark):
+    docs = spark.createDataFrame([(str(i), f"text {i} of some", i, "c") for i in range(40)], "doc_id string, text string, ids long, chunk string")
+    got = {r.doc_id: (r.n_tokens, r.chunk) for r in codec.encode_texts(docs, MODEL, keep=("doc_id", "chunk")).collect()}
+    assert got == {str(i): (len(LIBRARY.encode(f"text {i} of some", add_eos=True)), "c") for i in range(40)}
