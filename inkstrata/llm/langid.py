@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +10,6 @@ from .common import arrow_batches, map_text, stratified
 from .textvec import code_points
 
 ORDERS = (1, 2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
 _STEPS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
@@ -63,7 +60,7 @@ class LanguageModel:
         odds = np.exp(scaled - scaled.max(axis=1, keepdims=True))
         odds /= odds.sum(axis=1, keepdims=True)
         best = odds.argmax(axis=1)
-        letters = [bool(_LETTER.search(t or "")) for t in texts]
+        letters = [any(map(str.isalpha, t or "")) for t in texts]  # Unicode category L
         return [self.names[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], [float(p[b]) if ok else 0.0 for p, b, ok in zip(odds, best, letters, strict=True)]
 
 

@@ -101,3 +101,10 @@ def test_odd_tables(spark):
     assert len(got) == 4 and {r.lang_pred for r in got if r.doc_id == 1} == {"und"}
     assert langid.fit(docs.limit(0)) is None and langid.predict(docs.limit(0), None).count() == 0
     assert toxicity.score(docs.limit(0), None).count() == 0
+
+
+def test_letters_are_those_of_category_l(spark):
+    rows = [(i, "plain words of a language", "en") for i in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names, odds = model.score(["\u00b2 \u00bd \u2167 12", "\u02b0", "\u4e2d", "\u0661\u0301_"])
+    assert names == ["und", "en", "en", "und"] and odds[0] == odds[3] == 0.0
