@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,6 @@ from .textvec import _powers, code_points, mix64
 
 BINS = 64
 NONE = 0xFFFF
-SHORT = 200
 
 
 def _coin_table() -> np.ndarray:
@@ -75,24 +75,17 @@ def phrases(names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(texts: list) -> np.ndarray:
-    """n x BINS: in each bin the top 16 bits of the least phrase name that falls into it (levels 2 and up, for texts of under SHORT code points level 1 too), NONE for an empty bin."""
+    """n x BINS: in each bin the top 16 bits of the least phrase name that falls into it of any level, NONE for an empty bin."""
     points, offsets = code_points(texts)
     out = np.full(len(texts) * BINS, np.uint32(0xFFFFFFFF))
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
-        short = np.diff(offsets) < SHORT
         names, starts = mix64(points.astype(np.uint64) + np.uint64(1)), offsets[full]
-        level = 0
         while len(names):
             names, starts = phrases(names, starts)
-            level += 1
             sizes = np.diff(np.append(starts, len(names)))
             doc = np.repeat(full, sizes)
-            use, of = names, doc
-            if level == 1:  # also the one phrase that a long run is
-                pick = short[doc] | np.repeat(sizes == 1, sizes)
-                use, of = names[pick], doc[pick]
-            np.minimum.at(out, of * BINS + (use & np.uint64(BINS - 1)).astype(np.int64), np.minimum(use >> np.uint64(32), np.uint64(0xFFFEFFFF)).astype(np.uint32))
+            np.minimum.at(out, doc * BINS + (names & np.uint64(BINS - 1)).astype(np.int64), np.minimum(names >> np.uint64(32), np.uint64(0xFFFEFFFF)).astype(np.uint32))
             live = sizes > 1  # a text of one phrase is done
             names, full = names[np.repeat(live, sizes)], full[live]
             starts = (np.cumsum(sizes[live]) - sizes[live]).astype(np.int64)
@@ -116,55 +109,72 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def _rank(there: bool, k: object, th: int) -> tuple:
+    """The order of rows: those without a key first, then by key, then by the hash of their texts."""
+    return (there, k if there else 0, th)
+
+
 def with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bucket_rows: int = 500, most_buckets: int = 20_000) -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs.
 
-    The next document is that with the next larger key; after the last comes the first, and a lone document follows itself. Rows of one key follow each other by
-    length and bytes. A null text is empty; a null key comes first. A fingerprint has four hex digits a bin. Columns besides key and text go; an empty table gives none.
+    The next document is that with the next larger key (numbers, strings or any other ordered type); after the last comes the first, and a lone document follows itself. Rows of one key follow each
+    other by the XXH64 of their texts. A null text is empty; a null key comes first. A fingerprint has four hex digits a bin. Columns besides key and text go; an empty table gives none.
 
-    Keys are cut into buckets at quantiles; a bucket's rows are sorted and streamed through one task, and the first row of each bucket goes to the bucket before it
-    as well. The driver holds the bounds and first keys of the buckets only. Texts travel compressed.
+    Rows are cut into buckets at quantiles of key and text hash, so a frequent key has several; a bucket's rows are sorted and streamed through one task, and the first row of each bucket goes to the
+    bucket before it as well. The driver holds the bounds (from at most 16 random rows a bucket) and first rows' keys of the buckets only. Texts travel compressed.
     """
     spark = docs.sparkSession
     arrow_batches(spark, 500)
-    ids = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id")
-    plain = docs.select(ids)
+    there = F.col(key).isNotNull().alias("there")
+    placed = docs.select(there, F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("t"))
+    plain = placed.select("there", "k", "th")
     n = plain.count()
     buckets = max(1, min(most_buckets, n // bucket_rows))
-    bounds = np.array(sorted(set(plain.approxQuantile("id", [i / buckets for i in range(1, buckets)], max(0.2 / buckets, 2e-5)))) if buckets > 1 else [], np.float64)
+    drawn = plain.where(F.rand(5) < min(1.0, 16 * buckets / max(n, 1))).collect() if buckets > 1 else []
+    ranked = sorted({_rank(*r) for r in drawn})
+    bounds = [ranked[i * len(ranked) // buckets] for i in range(1, buckets)] if ranked else []
+    place = f"there boolean, k {dict(docs.dtypes)[key]}, th long"
 
-    def of(values: np.ndarray) -> np.ndarray:
-        return np.searchsorted(bounds, values.astype(np.float64), "right").astype(np.int32)
+    def ranks(batch: pa.RecordBatch) -> list[tuple]:
+        return [_rank(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("there", "k", "th")), strict=True)]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
-            found = of(values)
-            order = np.argsort(found, kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], np.diff(found[order]) > 0))) if len(order) else order
-            yield pa.RecordBatch.from_arrays([pa.array(found[order][at]), pa.array(np.minimum.reduceat(values[order], at) if len(at) else values)], ["bucket", "id"])
-
-    rows = sorted((r.bucket, r.id) for r in plain.mapInArrow(number, "bucket int, id long").groupBy("bucket").agg(F.min("id").alias("id")).collect())
-    goes_to: dict[int, int] = {first: rows[i - 1][0] for i, (_, first) in enumerate(rows)}  # the bucket before; the last one for the first
-    deal = to_arrow_schema(StructType.fromDDL("bucket int, tail int, id long, missing boolean, n int, z binary"))
+            rows = ranks(batch)
+            least: dict[int, int] = {}
+            for i, r in enumerate(rows):
+                b = bisect_right(bounds, r)
+                if b not in least or r < rows[least[b]]:
+                    least[b] = i
+            yield pa.RecordBatch.from_arrays([pa.array(list(least), "int32"), *(batch.column(c).take(pa.array(list(least.values()), "int64")) for c in ("there", "k", "th"))], ["bucket", "there", "k", "th"])
+
+    firsts = plain.mapInArrow(number, f"bucket int, {place}").groupBy("bucket").agg(F.min(F.struct("there", "k", "th")).alias("m"))
+    rows = sorted((r.bucket, _rank(*r.m)) for r in firsts.collect())
+    goes_to = {first: rows[i - 1][0] for i, (_, first) in enumerate(rows)}  # the bucket before; the last one for the first
+    deal = f"bucket int, tail int, {place}, z binary"
+    deal_schema = to_arrow_schema(StructType.fromDDL(deal))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=1)
+        sent = set()  # a first row that is repeated goes ahead once a task
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
-            found = of(values).tolist()
-            texts = batch.column(2).to_pylist()
-            missing = batch.column(1).to_pylist()
-            made: list[tuple] = []
-            for i, b, t, m in zip(values.tolist(), found, texts, missing, strict=True):
-                t = t or ""
-                z = packer.compress(t.encode())
-                made.append((b, 0, i, m, len(t), z))
-                if i in goes_to:
-                    made.append((goes_to[i], 1, i, m, len(t), z))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True) if made else [[]] * 6, deal, strict=True)], schema=deal)
+            of: list[int] = []
+            tail: list[int] = []
+            rows_: list[int] = []
+            packed: list[bytes] = []
+            for i, (r, t) in enumerate(zip(ranks(batch), batch.column("t").to_pylist(), strict=True)):
+                z = packer.compress((t or "").encode("utf-8", "surrogatepass"))
+                for b, is_tail in ((bisect_right(bounds, r), 0), *([(goes_to[r], 1)] if r in goes_to and r not in sent else [])):
+                    of.append(b)
+                    tail.append(is_tail)
+                    rows_.append(i)
+                    packed.append(z)
+                if r in goes_to:
+                    sent.add(r)
+            at = pa.array(rows_, "int64")
+            yield pa.RecordBatch.from_arrays([pa.array(of, "int32"), pa.array(tail, "int32"), *(batch.column(c).take(at).cast(deal_schema.field(c).type) for c in ("there", "k", "th")), pa.array(packed, "binary")], schema=deal_schema)
 
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -179,8 +189,8 @@ def with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buck
         size = 0
 
         def flush() -> pa.RecordBatch:
-            texts = [r[2] for r in ready]
-            after = [r[3] for r in ready]
+            texts = [r[1] for r in ready]
+            after = [r[2] for r in ready]
             changed = [edited(t, x) for t, x in zip(texts, after, strict=True)]
             # a row's successor is mostly the next row: only the others are sketched beside
             odd = [i for i in range(len(ready)) if i + 1 == len(ready) or after[i] is not texts[i + 1]]
@@ -190,7 +200,7 @@ def with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buck
             follow = np.concatenate((own[1:], own[:1]))
             follow[odd] = made[2 * m :]
             columns = [
-                [None if r[1] else r[0] for r in ready],
+                [r[0] for r in ready],
                 [len(t) for t in texts],
                 [hashlib.sha256(c.encode()).hexdigest() for c in changed],
                 _hex(own),
@@ -201,19 +211,19 @@ def with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buck
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
         for batch in batches:
-            for bucket, tail, i, missing, z in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tail", "id", "missing", "z")), strict=True):
+            for bucket, tail, k, z in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tail", "k", "z")), strict=True):
                 if tail and (held is None or held[0] != bucket):
                     continue  # a further row of the first key
-                t = reader.decompress(z).decode()
+                t = reader.decompress(z).decode("utf-8", "surrogatepass")
                 if held is not None:
-                    ready.append((held[1], held[2], held[3], t))
-                    size += 2 * len(held[3])
-                held = None if tail else (bucket, i, missing, t)
+                    ready.append((held[1], held[2], t))
+                    size += 2 * len(held[2])
+                held = None if tail else (bucket, k, t)
                 if size >= 1 << 18:  # arrays of this size stay in the CPU cache
                     yield flush()
                     ready, size = [], 0
         if ready:
             yield flush()
 
-    packed = docs.select(ids, F.col(key).isNull().alias("missing"), F.col(text)).mapInArrow(trimmed(pack), "bucket int, tail int, id long, missing boolean, n int, z binary")
-    return packed.repartition(max(buckets // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket", "tail", "id", "n", "z").mapInArrow(trimmed(walk), schema)
+    packed = placed.mapInArrow(trimmed(pack), deal)
+    return packed.repartition(max(buckets // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket", "tail", "there", "k", "th").mapInArrow(trimmed(walk), schema)
