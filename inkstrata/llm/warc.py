@@ -6,6 +6,8 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +35,7 @@ def classified(pages: DataFrame, key: str, html: str, least_bytes: int) -> DataF
     """(key, digest, refers_to, revisit) of the distinct pairs of key and digest. Hot payloads are combined before the shuffle and joined salted: a third of all pages may share one."""
     payload = F.coalesce(F.col(html), F.lit(""))
     digests = written(pages.select(key, payload_digest(payload).alias("digest"), F.octet_length(payload).alias("bytes")).distinct(), "digests")
-    salt = F.pmod(F.xxhash64(F.coalesce(F.col(key), F.lit(-1))), F.lit(64)).cast("int")
+    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(64)).cast("int")
     salted = digests.withColumn("salt", salt)
     most = salted.groupBy("digest").agg(F.max(key).alias("most"), F.count(F.lit(1)).alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
     most = written(most.select("digest", "most", F.explode("salts").alias("salt")), "shared-payloads")
@@ -44,7 +46,7 @@ def classified(pages: DataFrame, key: str, html: str, least_bytes: int) -> DataF
 
 def record(key: Column, url: Column, payload: Column, digest: Column, revisit: Column, refers_to: Column, date: str) -> Column:
     """A whole record as text, without the two line ends that close it. A revisit has the HTTP head only; its Content-Length there is the payload's."""
-    name = lambda k: F.concat(F.lit("<urn:page:"), F.coalesce(k.cast("string"), F.lit("null")), F.lit(">"))
+    name = lambda k: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(k.cast("string")), F.lit(">")), F.lit("<urn:null>"))
     target = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20]", "%20")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(payload))
@@ -102,20 +104,19 @@ def records(stream: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends within a record")
 
 
-def inflated(content: memoryview, step: int = 1 << 18) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or several members, some at a time."""
+def inflated(stream: BinaryIO, step: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or several members, some at a time; the file is read as it goes."""
     reader = zlib.decompressobj(31)
-    for lo in range(0, len(content), step):
-        piece = bytes(content[lo : lo + step])
+    while piece := stream.read(step):
         while piece:
-            out = reader.decompress(piece)
+            out = reader.decompress(piece, step)
             if out:
                 yield out
             if reader.eof:
                 piece = reader.unused_data
                 reader = zlib.decompressobj(31)
             else:
-                piece = b""
+                piece = reader.unconsumed_tail
 
 
 def member(data: bytes, level: int = 6) -> bytes:
@@ -130,11 +131,11 @@ def headers(head: bytes) -> dict[str, str]:
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrites every archive in the folder ``source`` with a member a record into ``target``; the sidecar index, one row a record, is written to target/index and returned.
 
-    An archive is inflated once, as a stream, and its member file appears under its final name by a move after its last byte: a lost executor leaves no half archive, and a second
+    An archive is read and inflated once, as a stream from the store, so memory holds one record, whatever the archive's size; its member file appears under its final name by a move after its last byte: a lost executor leaves no half archive, and a second
     attempt makes the same bytes. Files are reached through Arrow's file systems, by the URI of the shared folder.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")  # the listing only
     schema = to_arrow_schema(StructType.fromDDL(INDEX))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +145,17 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                stem = batch.column(0)[i].as_py().rpartition("/")[2].removesuffix(".txt.gz").removesuffix(".gz")
+                name = batch.column(0)[i].as_py().rpartition("/")[2]
+                stem = name.removesuffix(".txt.gz").removesuffix(".gz")
                 archive = f"{target}/{stem}.warc.gz"
                 store, path = fs.FileSystem.from_uri(archive)
                 draft = f"{path}.{uuid.uuid4().hex}"
                 rows: list[tuple] = []
                 offset = 0
                 store.create_dir(path.rpartition("/")[0])
-                with store.open_output_stream(draft, compression=None) as out:
-                    for whole in records(inflated(memoryview(batch.column(1)[i].as_buffer()))):
+                origin, origin_path = fs.FileSystem.from_uri(f"{source}/{name}")
+                with origin.open_input_stream(origin_path, compression=None) as given, store.open_output_stream(draft, compression=None) as out:
+                    for whole in records(inflated(given)):
                         h = headers(whole[: whole.index(b"\r\n\r\n")])
                         packed = member(whole)
                         out.write(packed)
@@ -167,17 +170,19 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{target}/index")
 
 
-def read_back(index: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, html) of every record of the index, each read at its offset. html is null for revisits.
+def read_back(index: DataFrame, kind: str = "bigint") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, html) of every record of the index, each read at its offset. html is null for revisits; kind is the type of the ids.
 
     A response whose payload doesn't match its digest or length raises an error.
     """
-    ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string"
+    ddl = f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, url string, html string"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
-    def number(name: str | None) -> int | None:
-        found = (name or "").removeprefix("<urn:page:").removesuffix(">")
-        return None if found in ("", "null") else int(found)
+    def ident(name: str | None) -> int | str | None:
+        if not name or name == "<urn:null>":
+            return None
+        found = unquote_plus(name.removeprefix("<urn:page:").removesuffix(">"))
+        return found if kind == "string" else int(found)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -203,7 +208,7 @@ def read_back(index: DataFrame) -> DataFrame:
                 response = h["warc-type"] == "response"
                 if response and (len(body) != size or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
                     raise ValueError(f"record {h['warc-record-id']} in {archive} is damaged")
-                rows.append((number(h["warc-record-id"]), size, digest, h["warc-type"], number(h.get("warc-refers-to")), h["warc-target-uri"], body.decode() if response else None))
+                rows.append((ident(h["warc-record-id"]), size, digest, h["warc-type"], ident(h.get("warc-refers-to")), h["warc-target-uri"], body.decode() if response else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         if file is not None:
@@ -218,9 +223,9 @@ def archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     """Writes a record for every row of pages, normalises the archives and reads them back: one row a record, as read_back() has it.
 
     Of the records whose payloads are equal and have ``least_bytes`` bytes at least, those with the largest key are responses and the others revisit it; smaller ones are all responses.
-    Rows that repeat the largest key and the payload are responses each. A null payload is empty; a null key is smaller than any other (a payload that only null keys have is in responses). A null URL becomes "". An empty table gives none.
+    Rows that repeat the largest key and the payload are responses each. A null payload is empty; a null key is smaller than any other (a payload that only null keys have is in responses). A null URL becomes "". An empty table gives none. Keys are whole numbers or strings.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_monolithic(pages, f"{path}/monolithic", key=key, url=url, html=html, least_bytes=least_bytes)
-    return read_back(normalise(spark, f"{path}/monolithic", f"{path}/members"))
+    return read_back(normalise(spark, f"{path}/monolithic", f"{path}/members"), dict(pages.dtypes)[key])

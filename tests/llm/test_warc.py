@@ -1,6 +1,7 @@
 import base64
 import collections
 import gzip
+import io
 import hashlib
 
 import pytest
@@ -66,8 +67,21 @@ def test_damage_is_an_error():
         with pytest.raises(ValueError):
             list(warc.records(iter([bad])))
     two = warc.member(good) + warc.member(good)
-    assert b"".join(warc.inflated(memoryview(two), 7)) == good * 2
+    assert b"".join(warc.inflated(io.BytesIO(two), 7)) == good * 2
 
 
 def test_empty_table(spark):
     assert warc.archive(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_string_keys_and_clashing_names(spark):
+    rows_ = [("b >%+", "http://x/", "same"), ("a", None, "same"), (None, "u", "same"), ("null", "u", "own")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows_], "page_id string, url string, html string, digest string, salt int")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(docs).collect()}
+    assert got == {"b >%+": ("response", None), "a": ("revisit", "b >%+"), None: ("revisit", "b >%+"), "null": ("response", None)}
+
+
+def test_a_long_record_among_short_ones(spark):
+    long = "0123456789abcdef" * 200_000
+    given = [(1, "u", "short"), (2, "u", long), (3, "u", "short too")]
+    assert rows(warc.archive(spark.createDataFrame(given, DDL))) == brute(given)
