@@ -59,11 +59,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_text(docs, lambda texts: {"fp": np.array(simhash(texts), np.uint64).view(np.int64)}, f"`{key}` {kind}, fp long", keep=[key], text=text, budget=1 << 17)
 
 
-def trie_links(groups: np.ndarray, values: np.ndarray, budget: int, leaf: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(groups: np.ndarray, values: np.ndarray, budget: int, leaf: int = 4, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of positions within ``budget`` differing bits and in one group, by a joint walk over pairs of trie nodes.
 
-    values: one 64-bit word each, or several (a row each). groups and values are sorted by (group, words in order) and values are distinct within a group. A trie node is a range of the
-    sorted values, so a pair of nodes is two ranges, with the bits that differ so far. Pairs over the budget are pruned; pairs of at most ``leaf`` members in all are compared.
+    values: one 64-bit word each, or several (a row each). groups and values are sorted by (group, side, words in order) and values are distinct within a group. A trie node is a range of the
+    sorted values, so a pair of nodes is two ranges, with the bits that differ so far. Pairs over the budget are pruned; a pair of nodes with ``leaf`` pairs of members at most is compared member by member,
+    on all bits at once. A group with sides (0 and 1) is a pair of nodes to begin with: only members of different sides link. Others begin with their root and itself.
     """
     words = values.reshape(len(values), -1)
     n, bits = len(words), 64 * words.shape[1]
@@ -72,6 +73,10 @@ def trie_links(groups: np.ndarray, values: np.ndarray, budget: int, leaf: int =
     first = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
     last = np.append(first[1:], n)
     a0, a1, b0, b1 = first, last, first, last
+    if sides is not None:
+        middle = last - np.add.reduceat(sides.astype(np.int64), first)  # where side 1 begins
+        paired = middle < last
+        a1, b0 = np.where(paired, middle, last), np.where(paired, middle, first)
     err = np.zeros(len(first), np.int64)
     for depth in range(bits + 1):
         size = (a1 - a0) * (b1 - b0)
@@ -127,51 +132,89 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 3, slice_rows: int = 1024, most_rows: int = 1 << 26) -> DataFrame:
+STEP = 6  # bits that a hot pair of nodes is descended by at a time
+
+
+def _descended(rows: DataFrame, budget: int, steps: list[list[int]], slice_rows: int) -> DataFrame:
+    """(fp, g, side): members dealt out as pairs of trie nodes g with at most ``slice_rows`` members each, as far as bits go.
+
+    rows: fp, trie, g, a row for each subtree g that a fingerprint is in. A hot pair of nodes is replaced by the pairs of its child nodes, STEP bits on, that stay within the budget with the bits that differed before; a child pair without members
+    on both sides goes. steps: for each trie the lowest bits of its steps. A member is in at most as many pairs as there are choices of ``budget`` of the bits descended.
+    """
+    codes = F.array(*[F.lit(c) for c in range(1 << STEP)])
+    now = rows.select("fp", "trie", "g", F.lit(0).alias("side"), F.lit(0).alias("err"))
+    ready = []
+    for step in range(len(steps[0]) + 1):
+        # pairs with members on both sides, or one node with several
+        sizes = now.groupBy("g").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1"), F.max("paired").alias("paired")) if "paired" in now.columns else now.groupBy("g").agg(F.count(F.lit(1)).alias("n0"), F.lit(0).cast("long").alias("n1"), F.lit(False).alias("paired"))
+        hot = written(sizes.where((F.col("n0") + F.col("n1") > slice_rows) & (F.col("n0") > 0) & (~F.col("paired") | (F.col("n1") > 0))).select("g"), "hot-nodes")
+        if step == len(steps[0]) or not hot.limit(1).count():
+            ready.append(now.select("fp", "g", "side"))
+            break
+        ready.append(now.join(hot, "g", "left_anti").select("fp", "g", "side"))
+        lowest = F.element_at(F.array(*[F.lit(s[step]) for s in steps]), F.col("trie") + 1)
+        own = F.expr("shiftrightunsigned(fp, low)").bitwiseAND(F.lit((1 << STEP) - 1)).cast("int")
+        paired = F.col("paired") if "paired" in now.columns else F.lit(False)
+        met = now.join(hot, "g").withColumn("low", lowest).withColumn("own", own).withColumn("whole", ~paired)
+        near = F.filter(codes, lambda c: F.bit_count(c.bitwiseXOR(F.col("own"))) + F.col("err") <= budget)
+        met = met.select("fp", "trie", "g", "side", "err", "own", "whole", F.explode(near).alias("other"))
+        x = F.when(F.col("whole"), F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+        y = F.when(F.col("whole"), F.greatest("own", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+        now = met.select(
+            "fp",
+            "trie",
+            F.xxhash64("g", F.lit(step), x, y).alias("g"),
+            F.when(F.col("whole"), (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side")).alias("side"),
+            (F.col("err") + F.bit_count(F.col("own").bitwiseXOR(F.col("other")))).alias("err"),
+            (~F.col("whole") | (F.col("own") != F.col("other"))).alias("paired"),
+        )
+        now = written(now, "descended")
+        both = now.groupBy("g").agg(F.max("paired").alias("p"), F.min("side").alias("lo"), F.max("side").alias("hi"), F.count(F.lit(1)).alias("n"))
+        now = written(now.join(both.where((F.col("p") & (F.col("lo") < F.col("hi"))) | (~F.col("p") & (F.col("n") > 1))).select("g"), "g", "left_semi"), "descended")
+    out = ready[0]
+    for r in ready[1:]:
+        out = out.unionAll(r)
+    return out
+
+
+def fingerprint_links(fps: DataFrame, budget: int = 3, slice_rows: int = 4096, most_rows: int = 1 << 26) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all those within ``budget`` bits; a spanning forest of each task's pairs, not all pairs.
 
     The 64 bits are cut into blocks; two fingerprints within the budget agree on all but ``budget`` of them. Each choice of agreeing blocks is one
-    trie whose upper levels are those blocks, entered with no differing bit; Spark deals its subtrees out, and each subtree is joined with itself.
-    Subtrees of more than ``slice_rows`` members are cut into slices, dealt out as pairs of slices.
+    trie whose upper levels are those blocks, where no bit may differ: their nodes meet themselves only, and the shuffle finds them. From there on pairs of nodes are walked together, with the bits that differ: in Spark
+    while a pair has more than ``slice_rows`` members (_descended), in a task below (trie_links). Over ``most_rows`` fingerprints the bits are cut into more blocks, which makes more and deeper tries; the links are the same.
     """
     n = fps.count()
     blocks = budget + 1
     while n > most_rows * 4 ** (blocks - budget - 1) and blocks < 16:
         blocks += 1
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    masks = [sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen) for chosen in combinations(range(blocks), blocks - budget)]
+    tries = list(combinations(range(blocks), blocks - budget))
+    masks = [sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen) for chosen in tries]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    # the bits of the other blocks, STEP at a time; a block's last step may reach into agreeing bits
+    steps = [[low for b in range(blocks) if b not in chosen for low in range(edges[b], edges[b + 1], STEP)] for chosen in tries]
+    deepest = max(map(len, steps))
+    steps = [[min(x, BITS - STEP) for x in s] + [s[-1]] * (deepest - len(s)) for s in steps]
     keys = F.array(*[F.struct(F.lit(k).alias("trie"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("top")) for k, m in enumerate(signed)])
-    rows = fps.select("fp", F.explode(keys).alias("g")).select("fp", "g.trie", "g.top")
-    return _joined(rows, ["fp"], budget, slice_rows)
+    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", F.col("k.trie").alias("trie"), F.xxhash64("k.trie", "k.top").alias("g"))
+    return _walked(_descended(rows, budget, steps, slice_rows).withColumn("id", F.col("fp")), ["fp"], budget)
 
 
-def _joined(rows: DataFrame, words: list[str], budget: int, slice_rows: int) -> DataFrame:
-    """Links (a, b) of the members of subtrees (trie, top): of their first words where there is one, of a hash of the words where there are several."""
-    ident = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
-    hot = written(rows.groupBy("trie", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows).select("trie", "top", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")), "hot-subtrees")
-    few = hot.count()
-    if few:
-        # few by their size: at most tries * n / slice_rows of them; broadcast only while small
-        rows = rows.join(F.broadcast(hot) if few <= 20_000 else hot, ["trie", "top"], "left")
-    else:
-        rows = rows.withColumn("slices", F.lit(None).cast("int"))
-    own = F.pmod(ident if len(words) > 1 else F.xxhash64(words[0]), F.col("slices")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least(own, s).alias("x"), F.greatest(own, s).alias("y")))
-    tiles = F.when(F.col("slices").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(others)
-    dealt = rows.select(*words, "trie", "top", F.explode(tiles).alias("t")).select(*words, ident.alias("id"), F.xxhash64("trie", "top", "t.x", "t.y").alias("g"))
+def _walked(dealt: DataFrame, words: list[str], budget: int) -> DataFrame:
+    """Links (a, b) of the ids of dealt (words, id, g, side), by the joint walk within each g; a task holds some 100,000 rows, or one g."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
         size = 0
 
         def flush(frame: pd.DataFrame) -> pa.RecordBatch:
-            g = frame["g"].to_numpy()
+            g, side = frame["g"].to_numpy(), frame["side"].to_numpy()
             v = frame[words].to_numpy().view(np.uint64)
-            order = np.lexsort((*(v[:, k] for k in range(len(words) - 1, -1, -1)), g))
+            order = np.lexsort((*(v[:, k] for k in range(len(words) - 1, -1, -1)), side, g))
             g, v = g[order], v[order]
             ids = frame["id"].to_numpy()[order]
-            root = spanning(len(v), trie_links(g, v, budget))
+            root = spanning(len(v), trie_links(g, v, budget, sides=side[order]))
             linked = np.flatnonzero(root != np.arange(len(v)))
             return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
 
@@ -188,7 +231,35 @@ def _joined(rows: DataFrame, words: list[str], budget: int, slice_rows: int) ->
         if held:
             yield flush(pd.concat(held))
 
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(trimmed(join), "a long, b long").distinct()
+    return dealt.select(*words, "id", "g", "side").repartition("g").sortWithinPartitions("g").mapInArrow(trimmed(join), "a long, b long").distinct()
+
+
+def _joined(rows: DataFrame, words: list[str], budget: int, slice_rows: int) -> DataFrame:
+    """Links (a, b) of the members of subtrees (trie, top): of hashes of their words, as connect all those within the budget.
+
+    With so wide a budget the upper levels of a subtree prune nothing. In one of more than ``slice_rows`` members each is compared with the least first (the pivot): those near it are connected by that, so only
+    the others (strays) still have to meet: every stray meets all members, dealt out as pairs of slices. A large group of alike texts costs its size, not its square.
+    """
+    ident = F.xxhash64(*words)
+    keys = rows.select(*words, ident.alias("id"), F.xxhash64("trie", "top").alias("g"))
+    hot = written(keys.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*words)).alias("pivot")).where(F.col("n") > slice_rows).select("g", "pivot"), "hot-subtrees")
+    if not hot.limit(1).count():
+        return _walked(keys.withColumn("side", F.lit(0)), words, budget)
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot.{w}"))) for w in words), F.lit(0))
+    crowd = written(keys.join(hot, "g").select(*words, "id", "g", (apart > budget).alias("stray"), F.xxhash64(*[F.col(f"pivot.{w}") for w in words]).alias("to")), "hot-members")
+    half = max(1, slice_rows // 2)
+    parts = written(crowd.groupBy("g").agg(F.ceil(F.sum(F.col("stray").cast("long")) / half).cast("int").alias("strays"), F.ceil(F.sum((~F.col("stray")).cast("long")) / half).cast("int").alias("others")).where("strays > 0"), "hot-slices")
+    dealt = crowd.join(parts, "g").withColumn("own", F.pmod("id", F.when(F.col("stray"), F.col("strays")).otherwise(F.col("others"))).cast("int"))
+    spot = lambda kind, x, y, side: F.struct(F.xxhash64(F.col("g"), F.lit(kind), x, y).alias("g"), side.alias("side"))
+    zero = F.lit(0)
+    among = F.transform(F.sequence(zero, F.col("strays") - 1), lambda k: spot("s", F.least("own", k), F.greatest("own", k), zero))
+    with_others = F.transform(F.sequence(zero, F.greatest(F.col("others") - 1, zero)), lambda k: spot("o", F.col("own"), k, F.lit(1)))
+    with_strays = F.transform(F.sequence(zero, F.col("strays") - 1), lambda k: spot("o", k, F.col("own"), zero))
+    tasks = F.when(F.col("stray"), F.concat(among, F.when(F.col("others") > 0, with_others).otherwise(F.slice(with_others, 1, 0)))).otherwise(with_strays)
+    dealt = dealt.select(*words, "id", F.explode(tasks).alias("t")).select(*words, "id", "t.g", "t.side")
+    cold = keys.join(hot.select("g"), "g", "left_anti").select(*words, "id", "g", F.lit(0).alias("side"))
+    direct = crowd.where(~F.col("stray") & (F.col("id") != F.col("to"))).select(F.col("id").alias("a"), F.col("to").alias("b"))
+    return _walked(cold.unionByName(dealt), words, budget).unionAll(direct).distinct()
 
 
 def wide_simhash(texts: list, width: int = 5, words: int = 4, seed: int = 42) -> np.ndarray:

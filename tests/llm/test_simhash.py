@@ -7,8 +7,11 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from inkstrata.llm import simhash
 from inkstrata.llm.components import components
+from inkstrata.llm.queries import QUERIES
 
 
 def plain(text):
@@ -63,7 +66,7 @@ def test_components_equal_brute_force_with_hot_subtrees(spark):
     values = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(400)} | {rng.getrandbits(64) for _ in range(300)})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    links = simhash.fingerprint_links(fps, slice_rows=40)
+    links = simhash.fingerprint_links(fps, slice_rows=8)
     found = {r.node: r.component for r in components(links).collect()}
     want = groups(values)
     classes = {}
@@ -85,6 +88,53 @@ def test_rows_of_every_kind(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_query_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    prints = [plain(texts[k]) for k in ids]
+    want = {k: (f"{fp:016x}", ids[root]) for k, fp, root in zip(ids, prints, groups(prints), strict=True)}
+    got = QUERIES["op1_simhash"](spark, sf).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == want and len(got) == len(ids)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 80), st.sampled_from([1, 4, 4096]))
+def test_pairs_of_sides_only(seed, n, leaf):
+    rng = random.Random(seed)
+    centre = rng.getrandbits(64)
+    rows = sorted((rng.randrange(3), rng.randrange(2), v) for v in {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(n)})
+    g, side, v = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.int64, np.int64, np.uint64), strict=True))
+    got = sorted((int(i), int(j)) for a, b in simhash.trie_links(g, v, 3, leaf, side) for i, j in zip(a, b, strict=True))
+    whole = {k for k in set(g.tolist()) if not side[g == k].any()}
+    want = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if g[i] == g[j] and (side[i] != side[j] or int(g[i]) in whole) and int(v[i] ^ v[j]).bit_count() <= 3]
+    only = {k for k in set(g.tolist()) if side[g == k].all()}  # a side without another has no pair
+    assert got == [p for p in want if int(g[p[0]]) not in only]
+
+
+def test_wide_hot_subtrees_equal_brute_force(spark):
+    rng = random.Random(12)
+    centres = [[rng.getrandbits(64) for _ in range(2)] for _ in range(3)]
+    rows = set()
+    for c, spread in ((0, 10), (1, 14), (2, 40)):
+        for _ in range(150):
+            flips = rng.sample(range(128), rng.randint(0, spread))
+            rows.add(tuple(centres[c][w] ^ sum(1 << (b % 64) for b in flips if b // 64 == w) for w in range(2)))
+    rows = sorted(rows)
+    signed = [tuple(v - (1 << 64) if v >> 63 else v for v in r) for r in rows]
+    df = spark.createDataFrame([(*r, 0, 0) for r in signed], "w0 long, w1 long, trie int, top long")
+    found = {r.node: r.component for r in components(simhash._joined(df, ["w0", "w1"], 16, 40)).collect()}
+    names = [r.h for r in df.select(F.xxhash64("w0", "w1").alias("h"), "w0", "w1").collect()]
+    want = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if want[i] != want[j] and sum((a ^ b).bit_count() for a, b in zip(rows[i], rows[j], strict=True)) <= 16:
+            want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    classes = {}
+    for name, w in zip(names, want, strict=True):
+        classes.setdefault(w, set()).add(found.get(name, name))
+    assert all(len(c) == 1 for c in classes.values()) and len({next(iter(c)) for c in classes.values()}) == len(classes)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 90)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
