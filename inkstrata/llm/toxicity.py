@@ -104,8 +104,38 @@ def train(hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np.
     return model
 
 
-def _learn(hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np.ndarray, *, log2_buckets: int = 17, epochs: int = 4, batch: int = 64, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
-    """Words of a few texts only have no embedding."""
+def gradients(m: ToxicityModel, a: np.ndarray, b: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray], float, np.ndarray]:
+    """The weighted logistic loss of padded texts, and its gradients by out, bias and kernel, by base, and by the embedding of every place."""
+    f, n = m.filters, len(y)
+    x = m.embed(a, b)
+    responses = m.responses(x, a < 0)
+    top = np.concatenate([[at[i] + r[at[i] : at[i + 1]].argmax(axis=0) for i in range(n)] for r in responses], axis=1)
+    values = np.concatenate([np.take_along_axis(r, t, axis=0) for r, t in zip(responses, np.split(top, len(WIDTHS), axis=1), strict=True)], axis=1)
+    h = np.maximum(values, 0)
+    p = 1 / (1 + np.exp(-np.clip(h @ m.out + m.base, -30, 30)))
+    loss = -float((weight * np.where(y > 0, np.log(np.maximum(p, 1e-12)), np.log(np.maximum(1 - p, 1e-12)))).sum())
+    g = ((p - y) * weight).astype(np.float32)
+    gh = g[:, None] * m.out * (values > 0)
+    grads = {"out": h.T @ g, "bias": gh.sum(axis=0), "kernel": np.zeros_like(m.kernel)}
+    gx = np.zeros_like(x)
+    col = 0
+    for k, width in enumerate(WIDTHS):
+        first = top[:, k * f : (k + 1) * f]
+        full = a[first] >= 0  # a window that begins at an empty place sees nothing
+        for j in range(width):
+            cols = np.arange(col + j * f, col + (j + 1) * f)
+            place = np.minimum(first + j, len(x) - 1)
+            part = gh[:, k * f : (k + 1) * f] * (full & (first + j < len(x)))
+            grads["kernel"][:, cols] += np.einsum("nfd,nf->df", x[place], part)
+            np.add.at(gx, place.ravel(), part.reshape(-1, 1) * np.broadcast_to(m.kernel[:, cols].T, (n, f, x.shape[1])).reshape(-1, x.shape[1]))
+        col += width * f
+    return loss, grads, float(g.sum()), gx
+
+
+def _learn(
+    hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np.ndarray, *, log2_buckets: int = 17, epochs: int = 8, batch: int = 32, rate: float = 0.05, word_rate: float = 10.0, start: float = 0.0003, least: int = 3, seed: int = 7
+) -> ToxicityModel:
+    """Embeddings and filters from random numbers: nothing is known of any word beforehand. Words of under ``least`` texts have no embedding, so that chance finds teach nothing."""
     m = ToxicityModel(log2_buckets, seed=seed)
     n = len(toxic)
     y = toxic.astype(np.float32)
@@ -113,35 +143,25 @@ def _learn(hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np
     size = 1 << log2_buckets
     rng = np.random.default_rng(seed)
     share = y.mean()
-    prior = float(np.clip(y.sum() / 10, 2, 12))  # so many texts of evidence pull every word to neutral: more texts bring more chance finds
     names = int(max(langs.max(initial=0), 0)) + 1
     counts = np.full((size, names), 0.1)
-    tallies = np.zeros((2, 2, size))  # table, label
+    seen_in = np.zeros((2, size))
     for lo in range(0, n, 500):  # some texts at a time: the driver stays small
         hi = min(n, lo + 500)
         part = slice(int(offsets[lo]), int(offsets[hi]))
         doc = np.repeat(np.arange(lo, hi), np.diff(offsets[lo : hi + 1]))
         for k, ids in enumerate((a[part], b[part])):
-            seen = np.unique(doc * np.int64(size) + ids)  # once per text
-            for label in (0, 1):
-                tallies[k, label] += np.bincount((seen % size)[toxic[seen // size] == label], minlength=size)
+            seen_in[k] += np.bincount(np.unique(doc * np.int64(size) + ids) % size, minlength=size)  # once per text
         known = langs[doc] >= 0
         np.add.at(counts, (a[part][known], langs[doc][known]), 1)
-    for table, (neg, pos) in zip((m.first, m.second), tallies, strict=True):
-        lean = np.log((pos + prior * share) / max(1e-9, share)) - np.log((neg + prior * (1 - share)) / max(1e-9, 1 - share))
-        often = pos + neg >= max(2, prior / 3)
-        table[:, 0] = np.clip(lean, -3, 3) * often
-        table[:, 1:] = rng.standard_normal((size, m.half - 1)).astype(np.float32) * 0.1 * often[:, None]
-    m.kernel[:, 0] = 0
-    m.kernel[0, 0] = m.kernel[m.half, 0] = 0.5
-    m.bias[0], m.out[0] = -1.0, 2.0
+    for table, texts in zip((m.first, m.second), seen_in, strict=True):
+        table[:] = rng.standard_normal(table.shape).astype(np.float32) * start * (texts >= least)[:, None]
     m.lang_logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
     weight = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     squares = {k: np.full_like(getattr(m, k), 1e-3) for k in ("kernel", "bias", "out")}
     base_sq = 1e-3
-    f = m.filters
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             pick = order[lo : lo + batch]
@@ -149,37 +169,17 @@ def _learn(hashes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langs: np
             own = np.concatenate(([0], np.cumsum([len(s) for s in spans]))).astype(np.int64)
             words = np.concatenate(spans) if own[-1] else np.zeros(0, np.int64)
             pa, pb, at = m.padded(a[words], b[words], own)
-            x = m.embed(pa, pb)
-            responses = m.responses(x, pa < 0)
-            top = np.concatenate([[at[i] + r[at[i] : at[i + 1]].argmax(axis=0) for i in range(len(pick))] for r in responses], axis=1)
-            values = np.concatenate([np.take_along_axis(r, t, axis=0) for r, t in zip(responses, np.split(top, len(WIDTHS), axis=1), strict=True)], axis=1)
-            h = np.maximum(values, 0)
-            p = 1 / (1 + np.exp(-np.clip(h @ m.out + m.base, -30, 30)))
-            g = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            gh = g[:, None] * m.out * (values > 0)
-            grads = {"out": h.T @ g, "bias": gh.sum(axis=0), "kernel": np.zeros_like(m.kernel)}
-            gx = np.zeros_like(x)
-            col = 0
-            for k, width in enumerate(WIDTHS):
-                for j in range(width):
-                    cols = np.arange(col + j * f, col + (j + 1) * f)
-                    at_k = top[:, k * f : (k + 1) * f] + j
-                    inside = at_k < len(x)
-                    at_k = np.minimum(at_k, len(x) - 1)
-                    part = gh[:, k * f : (k + 1) * f] * inside
-                    grads["kernel"][:, cols] += np.einsum("nfd,nf->df", x[at_k], part)
-                    np.add.at(gx, at_k.ravel(), part.reshape(-1, 1) * np.broadcast_to(m.kernel[:, cols].T, (len(pick), f, x.shape[1])).reshape(-1, x.shape[1]))
-                col += width * f
+            _, grads, base, gx = gradients(m, pa, pb, at, y[pick], weight[pick] / len(pick))
             for k, grad in grads.items():
                 grad += 1e-4 * getattr(m, k)
                 squares[k] += grad**2
                 getattr(m, k)[...] -= rate * grad / np.sqrt(squares[k])
-            base_sq += g.sum() ** 2
-            m.base -= rate * g.sum() / np.sqrt(base_sq)
+            base_sq += base**2
+            m.base -= rate * base / np.sqrt(base_sq)
             hit = np.flatnonzero(np.any(gx != 0, axis=1) & (pa >= 0))
             for table, ids, part in ((m.first, pa, gx[:, : m.half]), (m.second, pb, gx[:, m.half :])):
                 live = hit[np.any(table[ids[hit]] != 0, axis=1)]
-                np.add.at(table, ids[live], -rate * 0.5 * part[live])
+                np.add.at(table, ids[live], -word_rate * part[live])
     return m
 
 

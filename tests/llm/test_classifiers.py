@@ -70,7 +70,49 @@ def test_toxicity_scores_do_not_depend_on_the_batch(spark):
     assert np.allclose(model.score(texts), [model.score([t])[0] for t in texts])
 
 
-def test_gradients_by_differences():
+def test_every_gradient_by_differences():
+    rng = np.random.default_rng(4)
+    m = toxicity.ToxicityModel(6)
+    for name in ("first", "second", "kernel", "bias", "out"):  # double, so that differences are exact enough
+        setattr(m, name, rng.standard_normal(getattr(m, name).shape) * 0.4)
+    sizes = [7, 0, 1, 12]
+    a, b, at = m.padded(*(rng.integers(0, 64, sum(sizes)).astype(np.int32) for _ in range(2)), np.concatenate(([0], np.cumsum(sizes))))
+    y, w = np.array([1.0, 0, 1, 0]), np.array([0.5, 0.2, 0.9, 0.4])
+    _, grads, base, gx = toxicity.gradients(m, a, b, at, y, w)
+
+    def slope(array, spot):
+        kept = array[spot]
+        found = []
+        for d in (1e-5, -1e-5):
+            array[spot] = kept + d
+            found.append(toxicity.gradients(m, a, b, at, y, w)[0])
+        array[spot] = kept
+        return (found[0] - found[1]) / 2e-5
+
+    for name, grad in grads.items():
+        for spot in [tuple(rng.integers(0, k) for k in grad.shape) for _ in range(25)]:
+            assert abs(slope(getattr(m, name), spot) - grad[spot]) < 1e-4
+    for word in np.unique(a[a >= 0])[:12]:
+        assert abs(slope(m.first, (word, 1)) - gx[a == word, 1].sum()) < 1e-4
+    m.base += 1e-5
+    up = toxicity.gradients(m, a, b, at, y, w)[0]
+    m.base -= 2e-5
+    assert abs((up - toxicity.gradients(m, a, b, at, y, w)[0]) / 2e-5 - base) < 1e-4
+
+
+def test_training_is_what_tells_toxic_texts():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 60)) + (f" bad{rng.integers(0, 6)} tail" if i % 3 == 0 else "") for i in range(900)]
+    toxic = np.array([i % 3 == 0 for i in range(900)], np.int64)
+    h, at = textvec.word_hashes(texts)
+    right = {}
+    for epochs in (0, 8):
+        m = toxicity.train(h[: at[700]], at[:701], toxic[:700], np.zeros(700, np.int64), epochs=epochs)
+        right[epochs] = ((m.score(texts[700:]) >= 0.5) == toxic[700:]).mean()
+    assert right[8] > 0.95 and right[0] < 0.75
+
+
+def test_responses_by_loops():
     """The convolution's responses, pooled by hand."""
     m = toxicity.ToxicityModel(6)
     rng = np.random.default_rng(3)
