@@ -39,17 +39,19 @@ def _grouped(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.Dat
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
-def suppressed(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], duplicate: Callable[[np.ndarray, np.ndarray, pd.Series, pd.DataFrame], np.ndarray]) -> DataFrame:
-    """Rows in order (column, ascending), each kept unless it duplicates a kept one."""
+def suppressed(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], duplicate: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows in order (column, ascending), each kept unless it duplicates a kept one: duplicate(row, kept rows, boxes, their sizes) says of which. Kept rows are numbers in one growing array."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable").reset_index(drop=True)
-        b = g[BOX].to_numpy()
-        kept: list[int] = []
+        boxes = g[BOX].to_numpy()
+        size = g["area"].to_numpy(float) if "area" in g else areas(boxes).astype(float)
+        kept, n = np.empty(len(g), np.int64), 0
         for i in range(len(g)):
-            if not kept or not duplicate(b[i], b[kept], g.loc[i], g.loc[kept]).any():
-                kept.append(i)
-        return g.loc[kept]
+            if not duplicate(i, kept[:n], boxes, size).any():
+                kept[n] = i
+                n += 1
+        return g.iloc[kept[:n]]
 
     return _grouped(df, keys, run)
 
@@ -57,9 +59,9 @@ def suppressed(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], du
 def component_nms(df: DataFrame, keys: list[str]) -> DataFrame:
     """Components by score, area and id; a duplicate has an IoU of 0.82, or covers 0.94 of the smaller at an area ratio of 0.72."""
 
-    def duplicate(one: np.ndarray, many: np.ndarray, row: pd.Series, rows: pd.DataFrame) -> np.ndarray:
-        over, held = ratios(one, many)
-        a, b = float(areas(one[None])[0]), areas(many)
+    def duplicate(i: int, kept: np.ndarray, boxes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        over, held = ratios(boxes[i], boxes[kept])
+        a, b = areas(boxes[i : i + 1])[0], areas(boxes[kept])
         return (over >= 0.82) | ((held >= 0.94) & (np.minimum(a, b) / np.maximum(np.maximum(a, b), 1) >= 0.72))
 
     src = df.withColumn("_area", (df.x1 - df.x0) * (df.y1 - df.y0))
@@ -69,9 +71,9 @@ def component_nms(df: DataFrame, keys: list[str]) -> DataFrame:
 def mask_near_duplicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Candidates in model order; a duplicate of an accepted one has a like area (1.35), a box IoU of 0.52 and a mask IoU over 0.82."""
 
-    def duplicate(one: np.ndarray, many: np.ndarray, row: pd.Series, rows: pd.DataFrame) -> np.ndarray:
-        over, _ = ratios(one, many)
-        a, b = float(row["area"]), rows["area"].to_numpy(float)
+    def duplicate(i: int, kept: np.ndarray, boxes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        over, _ = ratios(boxes[i], boxes[kept])
+        a, b = size[i], size[kept]
         return (np.maximum(a, b) / np.maximum(1, np.minimum(a, b)) <= 1.35) & (over >= 0.52) & (over > 0.82)
 
     return suppressed(df, keys, [(order, True)], duplicate)
@@ -80,8 +82,8 @@ def mask_near_duplicates(df: DataFrame, keys: list[str], order: str) -> DataFram
 def text_draft_nms(df: DataFrame, keys: list[str]) -> DataFrame:
     """Text drafts by quality; duplicates overlap by IoU 0.55, containment 0.86 or box IoU 0.78."""
 
-    def duplicate(one: np.ndarray, many: np.ndarray, row: pd.Series, rows: pd.DataFrame) -> np.ndarray:
-        over, held = ratios(one, many)
+    def duplicate(i: int, kept: np.ndarray, boxes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        over, held = ratios(boxes[i], boxes[kept])
         return (over >= 0.55) | (held >= 0.86)
 
     return suppressed(df, keys, [("quality", False), ("y0", True), ("x0", True), ("text", True)], duplicate)
@@ -92,19 +94,20 @@ def detections(df: DataFrame, keys: list[str], order: str, most: int = 24) -> Da
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order, kind="stable").reset_index(drop=True)
-        b = g[BOX].to_numpy()
-        kept: list[int] = []
-        for i in range(len(g)):
-            same = [k for k in kept if g.at[k, "label"] == g.at[i, "label"]]
+        b, score = g[BOX].to_numpy(), g["score"].to_numpy()
+        kept: dict[object, list[int]] = {}  # by label, in order
+        stays = np.zeros(len(g), bool)
+        for i, label in enumerate(g["label"]):
+            same = kept.setdefault(label, [])
             over = ratios(b[i], b[same])[0] > 0.72 if same else np.zeros(0, bool)
-            if not over.any():
-                kept.append(i)
-            else:
-                first = same[int(over.argmax())]
-                if g.at[i, "score"] > g.at[first, "score"]:
-                    kept.remove(first)
-                    kept.append(i)
-        return g.loc[kept].sort_values("score", ascending=False, kind="stable").head(most)
+            if over.any():
+                first = int(over.argmax())
+                if not score[i] > score[same[first]]:
+                    continue
+                stays[same.pop(first)] = False
+            same.append(i)
+            stays[i] = True
+        return g[stays].sort_values("score", ascending=False, kind="stable").head(most)
 
     return _grouped(df, keys, run)
 

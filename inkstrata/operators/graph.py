@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder that spark.checkpoint.dir names (a local one where unset, as in tests): lineage ends, a lost executor takes nothing."""
+    """df as a table in the shared folder that spark.checkpoint.dir names (a local one where unset and the master is local, as in tests; an error on a cluster): lineage ends, a lost executor takes nothing."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -477,18 +477,18 @@ def mask_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {FOREST}, r AS (SELECT id, 0 AS depth FROM forest WHERE parent IS NULL UNION ALL SELECT f.id, r.depth + 1 FROM forest f JOIN r ON f.parent = r.id) SELECT id, depth FROM r")
 def hierarchy_depth(spark: SparkSession, d: str) -> DataFrame:
-    return graph.paths(graph.repaired(fx.forest(spark))).select("id", "depth")
+    return graph.paths(graph.repaired(fx.forest(spark, d))).select("id", "depth")
 
 
 @query(f"WITH RECURSIVE {FOREST}, r AS (SELECT parent AS ancestor, id AS descendant, 1 AS distance FROM forest WHERE parent IS NOT NULL UNION ALL SELECT r.ancestor, f.id, r.distance + 1 FROM r JOIN forest f ON f.parent = r.descendant) SELECT * FROM r")
 def descendants(spark: SparkSession, d: str) -> DataFrame:
-    return graph.descendants(fx.forest(spark))
+    return graph.descendants(fx.forest(spark, d))
 
 
-@query(f"""WITH RECURSIVE {FOREST}, k AS (SELECT *, CASE category WHEN 'object' THEN 1 WHEN 'text_raster' THEN 2 ELSE 0 END AS c FROM forest), r AS (SELECT id, [struct_pack(a := c, b := display_order, i := id)] AS path FROM k WHERE parent IS NULL UNION ALL SELECT k.id, list_append(r.path, struct_pack(a := k.c, b := k.display_order, i := k.id)) FROM k JOIN r ON k.parent = r.id) SELECT id, row_number() OVER (ORDER BY path) AS z FROM r""")
+@query(f"""WITH RECURSIVE {FOREST}, k AS (SELECT *, CASE category WHEN 'object' THEN 1 WHEN 'text_raster' THEN 2 ELSE 0 END AS c FROM forest), r AS (SELECT id, [struct_pack(a := c, b := display_order, i := id)] AS path FROM k WHERE parent IS NULL UNION ALL SELECT k.id, list_append(r.path, struct_pack(a := k.c, b := k.display_order, i := k.id)) FROM k JOIN r ON k.parent = r.id) SELECT id, row_number() OVER (PARTITION BY id // 40 ORDER BY path) AS z FROM r""")
 def z_order(spark: SparkSession, d: str) -> DataFrame:
-    p = graph.z_order(fx.forest(spark))
-    return p.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")).cast("long").alias("z"))
+    p = graph.z_order(fx.forest(spark, d))
+    return p.select("id", F.row_number().over(Window.partitionBy(F.floor(F.col("id") / 40)).orderBy("path")).cast("long").alias("z"))
 
 
 @query("""WITH c AS (SELECT p_partkey AS ord, CASE WHEN p_size % 2 = 0 THEN upper('dir/' || (p_partkey % 300)::VARCHAR || 'x') ELSE 'dir\\' || (p_partkey % 300)::VARCHAR || 'x' END AS path FROM part), k AS (SELECT *, lower(replace(path, '\\', '/')) AS path_key FROM c) SELECT path_key, arg_min(path, ord) AS path, min(ord) AS ord FROM k GROUP BY path_key""")

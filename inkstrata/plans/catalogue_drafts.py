@@ -75,9 +75,9 @@ def font_coverage(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", "f.text", "f.form", F.round("f.coverage", 9).alias("coverage"))
 
 
-@query("SELECT page_id, 3::BIGINT AS operators FROM pages")
+@query("SELECT page_id, 2 * (page_id % 5) + 1 AS operators FROM pages")
 def path_operator_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", text.path_operators(F.concat(F.lit("0 0 m 1 1 l\n2 2 re m2 x"), F.col("page_id").cast("string"))).cast("long").alias("operators"))
+    return table(spark, d, "pages").select("page_id", text.path_operators(F.concat(F.repeat(F.lit("0 0 m 1 1 l\n"), (F.col("page_id") % 5).cast("int")), F.repeat(F.lit("f "), F.length("url") % 3), F.lit("2 2 re m2 x"), F.col("page_id").cast("string"))).cast("long").alias("operators"))
 
 
 @query("""WITH j AS (SELECT o_orderkey AS id, ['fast', 'repair', 'layers', 'zoom'][o_orderkey % 4 + 1] AS mode, (o_custkey % 23) / 2.0 AS scale, CASE WHEN o_orderkey % 3 = 0 THEN 30 + o_custkey % 40 END AS layers FROM orders) SELECT id, array_to_string(list_filter([CASE WHEN mode = 'zoom' THEN 'mode' END, CASE WHEN mode = 'zoom' OR NOT (scale BETWEEN CASE WHEN mode = 'fast' THEN 2 ELSE 1 END AND 20) OR (mode = 'repair' AND scale > 1 AND scale < 2) THEN 'scale' END, CASE WHEN layers > 60 THEN 'max_layers' END, CASE WHEN layers IS NOT NULL AND mode <> 'layers' THEN 'max_layers_not_for_mode' END], lambda x: x IS NOT NULL), ';') AS errors FROM j""")

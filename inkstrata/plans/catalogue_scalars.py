@@ -304,9 +304,9 @@ def digit_span_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("[0-9]+")).cast("long").alias("numbers"), text.has_alnum(F.col("text")).alias("has_alnum"))
 
 
-@query("SELECT conv_id, turn, regexp_extract(s, '^([ ]*)', 1) AS prefix, trim(s) AS core, CASE WHEN trim(s) = '' THEN '' ELSE regexp_extract(s, '([ ]*)$', 1) END AS suffix FROM (SELECT conv_id, turn, repeat(' ', (turn % 3)::INT) || substr(replace(text, chr(10), '.'), 1, 40) || '.' || repeat(' ', (conv_id % 4)::INT) AS s FROM conversations)")
+@query("WITH t AS (SELECT conv_id, turn, repeat(' ', (turn % 3)::INT) || text || repeat(chr(10), (conv_id % 4)::INT) AS s FROM conversations), e AS (SELECT *, regexp_extract(s, '^\\s*') AS prefix FROM t), f AS (SELECT *, CASE WHEN prefix = s THEN '' ELSE regexp_extract(s, '\\s*$') END AS suffix FROM e) SELECT conv_id, turn, prefix, substr(s, length(prefix) + 1, length(s) - length(prefix) - length(suffix)) AS core, suffix FROM f")
 def edge_whitespace(spark: SparkSession, d: str) -> DataFrame:
-    s = F.concat(F.repeat(F.lit(" "), (F.col("turn") % 3).cast("int")), F.substring(F.regexp_replace("text", "\n", "."), 1, 40), F.lit("."), F.repeat(F.lit(" "), (F.col("conv_id") % 4).cast("int")))
+    s = F.concat(F.repeat(F.lit(" "), (F.col("turn") % 3).cast("int")), F.col("text"), F.repeat(F.lit("\n"), (F.col("conv_id") % 4).cast("int")))
     e = text.edge_whitespace(s)
     return table(spark, d, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in e.items()])
 
@@ -331,10 +331,10 @@ def protected_spans(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "s.start", "s.end", "s.kind", "s.text")
 
 
-@query("SELECT doc_id, true AS round_trip FROM documents")
+@query("SELECT doc_id, text AS restored FROM documents")
 def protected_round_trip(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "documents").select("doc_id", "text", spans.masked(F.col("text")).alias("m"))
-    return m.select("doc_id", F.coalesce(F.col("m.restored") == F.col("text"), F.lit(False)).alias("round_trip"))
+    return m.select("doc_id", "m.restored")
 
 
 @query()
@@ -584,15 +584,16 @@ def alpha_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return raster.per_image(_images(spark, d), ["vec_id", "pixels"], "vec_id long, at_25 long, at_50 long, at_75 long, outside long, weak_cores long, empty long, alpha double, soft double, untouched boolean", one)
 
 
-@query("SELECT vec_id, true AS exact FROM embeddings")
+@query(f"WITH {RASTER} SELECT image AS vec_id, sum(3 * v)::BIGINT AS total, sum((y * 8 + x + 1) * v)::BIGINT AS placed FROM raster GROUP BY image")
 def stack_planning(spark: SparkSession, d: str) -> DataFrame:
     def one(row: dict) -> dict:
         a, b = _square(row), raster.decoded(8, 8, np.asarray(row["other"]))
         alphas = [a[..., 0], b[..., 0]]
         back, targets = raster.planned_stack(a, b, alphas)
-        return {"vec_id": row["vec_id"], "exact": bool((raster.rendered_stack(back, targets, alphas) == a).all())}
+        shown = raster.rendered_stack(back, targets, alphas).astype(np.int64)
+        return {"vec_id": row["vec_id"], "total": int(shown.sum()), "placed": int((shown[..., 1].ravel() * np.arange(1, 65)).sum())}
 
-    return raster.per_image(_twice(spark, d), ["vec_id", "pixels", "other"], "vec_id long, exact boolean", one)
+    return raster.per_image(_twice(spark, d), ["vec_id", "pixels", "other"], "vec_id long, total long, placed long", one)
 
 
 @query()
@@ -624,13 +625,13 @@ def edit_gates(spark: SparkSession, d: str) -> DataFrame:
     return raster.per_image(_images(spark, d), ["vec_id", "pixels"], "vec_id long, outside_ok boolean, ghost_ratio double, seam_p95 double, passed boolean, text_pixels long, text_quality double", one)
 
 
-@query("SELECT vec_id, 32::BIGINT AS width, 256::BIGINT AS tile, NULL::VARCHAR AS error FROM embeddings")
+@query(f"WITH {RASTER} SELECT image AS vec_id, 4 * (max(x) + 1) AS width, sum(3 * 16 * v)::BIGINT AS total, max(v) AS brightest, NULL::VARCHAR AS error FROM raster GROUP BY image")
 def model_contract(spark: SparkSession, d: str) -> DataFrame:
     def one(model: models.Nearest, row: dict) -> dict:
-        out, tile = models.with_fallback(model, _square(row))
-        return {"width": out.shape[1], "tile": tile}
+        out, _ = models.with_fallback(model, _square(row))
+        return {"width": out.shape[1], "total": int(out.astype(np.int64).sum()), "brightest": int(out.max())}
 
-    return models.infer(_images(spark, d).select("vec_id", "pixels"), lambda: models.Nearest(memory=256), one, "vec_id long, width long, tile long, error string")
+    return models.infer(_images(spark, d).select("vec_id", "pixels"), lambda: models.Nearest(memory=256), one, "vec_id long, width long, total long, brightest long, error string")
 
 
 # --- sources, sinks, streams ---------------------------------------------------------------------------------------------------------

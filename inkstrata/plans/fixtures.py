@@ -55,8 +55,12 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = RASTER + """, nxt AS (SELECT vec_id AS image, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS other FROM embeddings), pairs AS (SELECT r.image, r.label, r.y, r.x, r.v, s.v AS w FROM raster r JOIN nxt USING (image) JOIN raster s ON s.image = nxt.other AND s.y = r.y AND s.x = r.x)"""
 
 
-def forest(spark: SparkSession, n: int = 200) -> DataFrame:
-    return spark.range(n).select(F.col("id"), F.when(F.col("id") > 0, F.floor(F.col("id") / 3)).alias("parent"), F.when(F.col("id") % 5 == 0, "text_raster").when(F.col("id") % 2 == 0, "object").otherwise("detail_group").alias("category"), (F.col("id") % 7).alias("display_order"))
+def forest(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of layers for every 40 parts (an image): the tables' size sets how many."""
+    k = F.col("p_partkey")
+    below = F.when(k % 40 > 0, k - k % 40 + F.floor(k % 40 / 3))
+    category = F.when(F.col("p_size") % 5 == 0, "text_raster").when(F.col("p_size") % 2 == 0, "object").otherwise("detail_group")
+    return table(spark, d, "part").select(k.alias("id"), below.alias("parent"), category.alias("category"), (F.col("p_size") % 7).alias("display_order"))
 
 
-FOREST = """forest AS (SELECT id, CASE WHEN id > 0 THEN id // 3 END AS parent, CASE WHEN id % 5 = 0 THEN 'text_raster' WHEN id % 2 = 0 THEN 'object' ELSE 'detail_group' END AS category, id % 7 AS display_order FROM range(200) t(id))"""
+FOREST = """forest AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 40 > 0 THEN p_partkey - p_partkey % 40 + p_partkey % 40 // 3 END AS parent, CASE WHEN p_size % 5 = 0 THEN 'text_raster' WHEN p_size % 2 = 0 THEN 'object' ELSE 'detail_group' END AS category, p_size % 7 AS display_order FROM part)"""
