@@ -22,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and the master is local (tests); an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         # qualified: a path without a scheme means the cluster's file system, also to readers beside Spark
         path = spark._jvm.org.apache.hadoop.fs.Path(found)
         whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return re.sub("^file:/+", "file:///", whole).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="inkstrata-")
     return "file://" + _LOCAL["dir"]
