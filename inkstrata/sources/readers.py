@@ -95,3 +95,41 @@ def as_raster(df: DataFrame, vector: str, side: int = 8) -> DataFrame:
     v = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("e").cast("double") + 1) / 2)) * 255).cast("long")
     keep = [c for c in df.columns if c != vector]
     return df.select(*keep, F.posexplode(vector).alias("i", "e")).select(*keep, F.floor(F.col("i") / side).cast("int").alias("y"), F.pmod("i", F.lit(side)).cast("int").alias("x"), v.alias("v"))
+
+
+def recognition_rows(lines: DataFrame, keys: list[str], value: str = "value", *, quoted: bool = False) -> DataFrame:
+    """The words in TSV lines that a table holds, by the rules of ``recognition_tsv``; its headers have no confidence and so are no words."""
+    quote = {} if quoted else {"quote": ""}
+    r = F.from_csv(value, TSV, {"sep": "\t", "mode": "PERMISSIVE", **quote})
+    return lines.select(*keys, r.alias("r")).select(*keys, "r.*").where((F.col("conf") >= 0) & (F.trim("text") != ""))
+
+
+def resolved(tokens: DataFrame, files: DataFrame, folder: str = "INPUT") -> DataFrame:
+    """(token, path, problem) of names given by a user against a listing (path, is_dir): the name below ``folder``, then as it is; then, if it has no extension, the one image of that name below ``folder``.
+
+    A directory is taken as it is. Problems: unsupported (a file of another kind), ambiguous, missing (null and empty names too). Tokens are taken once each."""
+    t = F.col("token")
+    rooted = t.startswith("/")
+    bare = ~t.rlike(r"[^/.][^/]*\.[^/.]+/?$")
+    place = lambda rank, path: F.struct(F.lit(rank).alias("rank"), path.alias("path"))
+    below = F.concat(F.lit(f"{folder}/"), t)
+    probes = F.array(*[place(2, F.concat(below, F.lit(f".{x}"))) for x in EXTENSIONS])
+    places = F.when(rooted, F.array(place(0, t))).when(bare, F.concat(F.array(place(0, below), place(1, t)), probes)).otherwise(F.array(place(0, below), place(1, t)))
+    d = tokens.select("token").distinct().select("token", F.explode_outer(places).alias("c")).select("token", "c.rank", "c.path")
+    found = files.select("path", F.col("is_dir").alias("_dir")).distinct()
+    hit = F.when(F.col("_dir").isNotNull(), F.struct("rank", "path", "_dir"))
+    g = d.join(found.where(F.col("path").isNotNull()), "path", "left").where(~((F.col("rank") == 2) & F.coalesce("_dir", F.lit(False)))).groupBy("token").agg(F.min(hit).alias("h"), F.count(F.when(F.col("rank") == 2, hit)).alias("n"))
+    image = F.lower("h.path").rlike(rf"\.({'|'.join(EXTENSIONS)})$")
+    problem = F.when(F.col("h").isNull(), "missing").when((F.col("h.rank") == 2) & (F.col("n") > 1), "ambiguous").when(~F.col("h._dir") & ~image, "unsupported")
+    return g.select("token", F.when(problem.isNull(), F.col("h.path")).alias("path"), problem.alias("problem"))
+
+
+def pinned_tools(candidates: DataFrame, keys: list[str], pattern: str) -> DataFrame:
+    """(keys, path, incompatible): the bundled tool where it exists, else the first (by ord) that exists, ran without an error and told a version of the pattern; the fallbacks tried in vain before it, in order.
+
+    candidates: path, bundled, exists, ord, exit_code, output. Nothing is run here."""
+    fits = F.col("exists") & (F.col("bundled") | ((F.col("exit_code") == 0) & F.col("output").rlike(pattern)))
+    tried = F.col("exists") & ~F.col("bundled") & ~F.coalesce(fits, F.lit(False))
+    g = candidates.groupBy(*keys).agg(F.min(F.when(fits, F.struct((~F.col("bundled")).alias("fallback"), "ord", "path"))).alias("b"), F.array_sort(F.collect_list(F.when(tried, F.struct("ord", "path")))).alias("t"))
+    before = F.filter("t", lambda x: F.col("b").isNull() | (F.col("b.fallback") & (x["ord"] < F.col("b.ord"))))
+    return g.select(*keys, F.col("b.path").alias("path"), F.transform(before, lambda x: x["path"]).alias("incompatible"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import safe_relative_path
@@ -18,6 +19,30 @@ def write_document(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def plain(value: Column, kind: T.DataType) -> Column:
+    """A value of types that JSON has: names of maps as strings, bytes as numbers, dates and times as text, decimals as doubles; lists and structs item by item."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), plain(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda e: plain(e, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[plain(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.BinaryType):
+        pairs = F.regexp_extract_all(F.hex(value), F.lit("(..)"), F.lit(1))
+        return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+    if isinstance(kind, T.DecimalType):
+        return value.cast("double")
+    return value.cast("string") if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) else value
+
+
+def plain_json(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, json): the other columns of each row as one JSON object in the order of their names; nulls stay as null."""
+    fields = sorted((f for f in df.schema if f.name not in keys), key=lambda f: f.name)
+    row = F.struct(*[plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields])
+    return df.select(*keys, F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def publish(df: DataFrame, root: str) -> str:
     """Writes a new version of a table below ``root`` and then its pointer row. Readers follow the last pointer, so they see the old or the new version, never part of one; works on any store, as nothing is renamed."""
     version = uuid.uuid4().hex

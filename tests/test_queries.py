@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from inkstrata.plans import catalogue, catalogue_drafts, catalogue_scalars  # noqa: F401
+from inkstrata.plans import catalogue, catalogue_drafts, catalogue_media, catalogue_scalars  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
