@@ -11,7 +11,7 @@ from ..functions import geometry as g
 from ..functions import hashing, numeric, text
 from ..operators import budget, graph, manifest, review, spatial, stats, tiles, votes
 from . import fixtures as fx
-from . import resources
+from . import fold_sql, resources
 from .fixtures import A, B, BOXES, COMMON, FOREST, IOU, PAIRS, RASTER, READINGS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,7 +85,7 @@ def word_alignment(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("words", words.cast("long")).select("conv_id", "turn", "words", (F.coalesce(F.sum("words").over(w), F.lit(0)) + 1).cast("long").alias("first"))
 
 
-@query()
+@query(fold_sql.REALIGNED)
 def realigned_proposals(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

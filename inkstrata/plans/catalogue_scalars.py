@@ -14,7 +14,7 @@ from ..operators import folds, manifest, raster, review, stencils, tiles
 from ..sources import readers, writers
 from ..streaming import lines
 from . import fixtures as fx
-from . import models, resources
+from . import fold_sql, models, resources
 from .catalogue import query
 from .fixtures import BOXES, PAIRS, RASTER, table
 
@@ -349,7 +349,7 @@ def case_transfer(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", text.case_pattern(F.upper("text"), F.lower("text")).alias("cased"))
 
 
-@query()
+@query(fold_sql.SAFE_NAMES)
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.safe_name(F.col("url")).alias("name"))
 
@@ -423,25 +423,25 @@ def tiled_blend(spark: SparkSession, d: str) -> DataFrame:
 # --- folds ---------------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(fold_sql.NMS)
 def nms_dedup(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d).select("image", F.col("id").alias("raw_id"), F.lit(1).alias("component_id"), "x0", "y0", "x1", "y1", F.col("price").alias("score"))
     return folds.component_nms(b, ["image"])
 
 
-@query()
+@query(fold_sql.DETECTIONS)
 def detection_dedup(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d).select("image", "id", "x0", "y0", "x1", "y1", F.col("price").alias("score"), (F.col("size") % 3).cast("string").alias("label"))
     return folds.detections(b, ["image"], "id")
 
 
-@query()
+@query(fold_sql.DRAFTS)
 def draft_dedup(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d).select("image", "id", "x0", "y0", "x1", "y1", F.col("price").alias("quality"), F.col("id").cast("string").alias("text"), F.col("size").alias("area"))
     return folds.mask_near_duplicates(folds.text_draft_nms(b, ["image"]), ["image"], "id")
 
 
-@query()
+@query(fold_sql.LAYERS)
 def layer_suppression(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d).select("image", "id", "x0", "y0", "x1", "y1", (F.col("price") / 2000).alias("score"), F.when(F.col("size") % 4 == 0, "text_raster").when(F.col("size") % 4 == 1, "object").otherwise("detail_group").alias("category"))
     return folds.layer_suppression(b, ["image"], "id")
@@ -453,13 +453,13 @@ def ocr_cluster(spark: SparkSession, d: str) -> DataFrame:
     return folds.reading_clusters(b, ["image"])
 
 
-@query()
+@query(fold_sql.SYMMETRIC)
 def symmetric_merge(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d).select("image", "id", "x0", "y0", "x1", "y1", F.when(F.col("size") % 5 == 0, "standalone_row").otherwise("standalone_object").alias("role"), F.lit(120).alias("width"), F.lit(106).alias("height"))
     return folds.symmetric_pairs(b, ["image"], "id")
 
 
-@query()
+@query(fold_sql.OBJECTS)
 def object_assignment(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.spatial import overlap_join
 
@@ -474,7 +474,7 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return folds.context_groups(table(spark, d, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", "context")
 
 
-@query()
+@query(fold_sql.NAMES)
 def collision_names(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.stats import duplicate_stems
 
