@@ -562,7 +562,7 @@ def worst_k(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").orderBy(F.col("event_type") != "purchase", "value", "event_id").limit(5).select("event_id", "value")
 
 
-@query()
+@query(fold_sql.FONTS)
 def font_selection(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "nation").select(F.col("n_nationkey").alias("text_id"), F.transform(F.filter(F.split("n_name", ""), lambda c: c != ""), lambda c: F.ascii(c)).alias("points"))
     fonts = spark.createDataFrame([(1, "Arial", "Bold", "/a.ttf", list(range(32, 127))), (2, "Arial", "Regular", "/b.ttf", list(range(32, 127))), (3, "Tahoma", "Italic", "/c.ttf", list(range(32, 91)))], "font_id int, family string, subfamily string, path string, codepoints array<int>")

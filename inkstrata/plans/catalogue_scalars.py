@@ -164,7 +164,7 @@ def print_geometry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(k.alias("id"), F.round(z["width_mm"], 6).alias("width_mm"), F.round(z["height_mm"], 6).alias("height_mm"), z["denominator"].cast("long").alias("denominator"), F.round(z["outer_w_mm"], 6).alias("outer_w_mm"))
 
 
-@query()
+@query(fold_sql.PAGE_BOXES)
 def page_boxes(spark: SparkSession, d: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     mm = resources.MM
@@ -447,7 +447,7 @@ def layer_suppression(spark: SparkSession, d: str) -> DataFrame:
     return folds.layer_suppression(b, ["image"], "id")
 
 
-@query()
+@query(fold_sql.READINGS_SQL)
 def ocr_cluster(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d).select("image", F.col("id").alias("reading"), "x0", "y0", "x1", "y1")
     return folds.reading_clusters(b, ["image"])
@@ -484,7 +484,7 @@ def collision_names(spark: SparkSession, d: str) -> DataFrame:
     return folds.output_names(duplicate_stems(f, "parent", "stem"), ["parent"]).select("relative", "stem_out")
 
 
-@query()
+@query(fold_sql.EVICTIONS)
 def budget_evictions(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d).select("image", "id", "x0", "y0", "x1", "y1", F.when(F.col("id") % 10 < 4, "draft").otherwise("layer").alias("kind"), (F.col("size") % 2 == 0).alias("optional"), (F.col("size") % 3 > 0).alias("leaf"), (F.col("size") % 5 == 0).alias("decoration"), F.col("price").alias("salience"), (F.col("price") / 2000).alias("quality"))
     return folds.evictions(b, ["image"], 60).select("image", "id", "action")

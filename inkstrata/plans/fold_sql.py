@@ -58,3 +58,26 @@ SELECT relative, CASE WHEN row_number() OVER (PARTITION BY lower(out) ORDER BY l
 SAFE_NAMES = r"""SELECT page_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(trim(url), '[<>:"/\\|?*\x00-\x1f]+', '_', 'g'), '\s+', ' ', 'g'), ' ._'), 80), ''), 'layer') AS name FROM pages"""
 
 REALIGNED = r"""SELECT conv_id, turn AS ord, true AS aligned, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), ' ') AS candidate FROM conversations"""
+
+_LOOSE = "b.size % 2 = 0 AND b.size % 3 > 0"
+_COVERED = f"list_filter(f.kept, lambda b: {_LOOSE} AND {COMMON} / greatest(1, {B})::DOUBLE >= 0.82)[1].id"
+_WEAKEST = f"list_sort(list_transform(list_filter(f.kept, lambda b: {_LOOSE} AND b.size % 5 = 0), lambda b: {{'score': b.score, 'id': b.id}}))[1].id"
+_VICTIM = f"coalesce({_COVERED}, CASE WHEN a.score / 2000 >= 0.80::DOUBLE THEN {_WEAKEST} END)"
+EVICTIONS = f"""WITH RECURSIVE {ROWS}, d AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score / 2000 DESC, id) AS i FROM c WHERE id % 10 < 4),
+f AS (SELECT image, 0::BIGINT AS i, coalesce(list({ITEM} ORDER BY id) FILTER (id % 10 >= 4), [])::{KEPT} AS kept FROM c a GROUP BY image UNION ALL SELECT a.image, a.i, CASE WHEN len(f.kept) < 60 THEN list_append(f.kept, {ITEM}) WHEN {_VICTIM} IS NOT NULL THEN list_append(list_filter(f.kept, lambda x: x.id <> {_VICTIM}), {ITEM}) ELSE f.kept END FROM f JOIN d a ON a.image = f.image AND a.i = f.i + 1),
+l AS (SELECT unnest(arg_max(kept, i)).id AS id FROM f GROUP BY image), w AS (SELECT DISTINCT unnest(kept).id AS id FROM f) SELECT image, id, CASE WHEN id IN (FROM l) THEN CASE WHEN id % 10 < 4 THEN 'in' ELSE 'keep' END WHEN id IN (FROM w) THEN 'evicted' ELSE 'out' END AS action FROM c"""
+
+# Clusters are lists of readings; b is a cluster's middle.
+_MIDDLE = ", ".join(f"'{e}': round_even(list_aggregate(list_transform(m, lambda z: z.{e}), 'median'), 0)::BIGINT" for e in ("x0", "y0", "x1", "y1"))
+_LINE = """greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest(1, least(a.y1 - a.y0, b.y1 - b.y0))::DOUBLE >= 0.72 AND abs((a.x0 + a.x1) - (b.x0 + b.x1)) / 2.0 <= greatest(1, a.x1 - a.x0, b.x1 - b.x0) * 0.20::DOUBLE
+AND least(greatest(1, a.x1 - a.x0), greatest(1, b.x1 - b.x0)) / greatest(1, a.x1 - a.x0, b.x1 - b.x0)::DOUBLE >= 0.55"""
+_JOINED = f"list_transform(list_transform(f.kept, lambda m: {{{_MIDDLE}}}), lambda b, j: CASE WHEN {IOU} >= 0.28 OR ({_LINE}) THEN {{'over': {IOU}::DOUBLE, 'at': j}} END)"
+READINGS_SQL = f"""WITH RECURSIVE {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y0, x0, id) AS i FROM boxes), f AS (SELECT DISTINCT image, 0::BIGINT AS i, []::STRUCT(id BIGINT, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT)[][] AS kept FROM boxes
+UNION ALL SELECT image, i, CASE WHEN best IS NULL THEN list_append(kept, [item]) ELSE list_concat(kept[:best - 1], [list_append(kept[best], item)], kept[best + 1:]) END FROM (SELECT a.image, a.i, f.kept, {{'id': a.id, 'x0': a.x0, 'y0': a.y0, 'x1': a.x1, 'y1': a.y1}} AS item, list_reverse_sort(list_filter({_JOINED}, lambda x: x IS NOT NULL))[1].at AS best FROM f JOIN o a ON a.image = f.image AND a.i = f.i + 1)),
+l AS (SELECT image, arg_max(kept, i) AS kept FROM f GROUP BY image), u AS (SELECT kept[n] AS m, n - 1 AS cluster FROM l, unnest(range(1, len(kept) + 1)) t(n)), r AS (SELECT unnest(m).id AS id, cluster FROM u) SELECT image, id AS reading, x0, y0, x1, y1, cluster FROM boxes JOIN r USING (id)"""
+
+PAGE_BOXES = """WITH p AS (SELECT p_partkey AS id, 72.0::DOUBLE / 25.4::DOUBLE AS mm, p_size + 100 AS w, p_size + 150 AS h FROM part), b AS (SELECT id, mm, w, h, (w + 6) * mm AS ow, (h + 6) * mm AS oh, 3 * mm AS l, (w + 3) * mm + CASE WHEN id % 7 = 0 THEN 9 ELSE 0 END AS r, (h + 3) * mm AS t FROM p)
+SELECT id, CASE WHEN id % 5 = 0 THEN 'media_invalid' ELSE array_to_string(list_filter([CASE WHEN r > ow + 1 OR t > oh + 1 THEN 'bleed_misses_trim' END, CASE WHEN abs(r - l - w * mm) > 1 OR abs(t - l - h * mm) > 1 THEN 'trim_size' END, CASE WHEN abs(l - 3 * mm) > 1 OR abs(ow - r - 3 * mm) > 1 OR abs(oh - t - 3 * mm) > 1 THEN 'bleed_side' END], lambda x: x IS NOT NULL), ';') END AS errors FROM b"""
+
+FONTS = """WITH f(font_id, family, subfamily, path, lo, hi, bonus, plain) AS (VALUES (1, 'arial', 'bold', '/a.ttf', 32, 126, 180.0, 0.0), (2, 'arial', 'regular', '/b.ttf', 32, 126, 180.0, 1.0), (3, 'tahoma', 'italic', '/c.ttf', 32, 90, 175.0, -30.0)), p AS (SELECT DISTINCT n_nationkey AS text_id, ord(unnest(string_split(n_name, ''))) AS p FROM nation),
+c AS (SELECT text_id, f.*, avg((p BETWEEN lo AND hi)::INT) AS coverage FROM p, f GROUP BY ALL), s AS (SELECT *, round(coverage * 1000.0 + bonus + plain, 9) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, family DESC, subfamily DESC, path DESC) AS rn FROM s) SELECT text_id, font_id, score::DOUBLE AS score, coverage FROM r WHERE rn = 1"""
