@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.readers import as_raster
@@ -43,16 +43,18 @@ RASTER = """raster AS (SELECT vec_id AS image, label, (i - 1) // 8 AS y, (i - 1)
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each raster with the next of its label, pixel by pixel: next is found by key arithmetic on sorted ids of one label in SQL; here by a self-join on rank."""
-    from pyspark.sql import Window
-
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    nxt = e.withColumn("other", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))).where("other is not null").select(F.col("vec_id").alias("image"), "other")
-    r = raster(spark, d)
-    return r.join(nxt, "image").join(r.select(F.col("image").alias("other"), "y", "x", F.col("v").alias("w")), ["other", "y", "x"])
-
-
-PAIRS = RASTER + """, nxt AS (SELECT vec_id AS image, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS other FROM embeddings), pairs AS (SELECT r.image, r.label, r.y, r.x, r.v, s.v AS w FROM raster r JOIN nxt USING (image) JOIN raster s ON s.image = nxt.other AND s.y = r.y AND s.x = r.x)"""
+    """Each raster with the next of its label, pixel by pixel. Rasters meet as whole vectors; only pairs are exploded."""
+    e = table(spark, d, "embeddings")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    nxt = e.select(F.col("vec_id").alias("image"), "label", F.lead("vec_id").over(w).alias("other")).where("other is not null")
+    both = nxt.join(e.select(F.col("vec_id").alias("image"), F.col("embedding").alias("a")), "image").join(e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("b")), "other")
+    pixel = lambda c: F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c).cast("double") + 1) / 2)) * 255).cast("long")
+    r = both.select("image", "label", "other", F.posexplode(F.arrays_zip("a", "b")).alias("i", "p")).select("image", "label", "other", "i", "p.a", "p.b")
+    return r.select("other", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "image", "label", pixel("a").alias("v"), pixel("b").alias("w"))
+
+
+_PIXEL = "round_even(greatest(0.0, least(1.0, ({0}[i]::DOUBLE + 1) / 2)) * 255, 0)::BIGINT"
+PAIRS = RASTER + f""", nxt AS (SELECT vec_id AS image, label, embedding AS e, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS o FROM embeddings), pairs AS (SELECT image, label, (i - 1) // 8 AS y, (i - 1) % 8 AS x, {_PIXEL.format("e")} AS v, {_PIXEL.format("o")} AS w FROM nxt, range(1, 65) t(i) WHERE o IS NOT NULL)"""
 
 
 def forest(spark: SparkSession, d: str) -> DataFrame:
