@@ -511,7 +511,8 @@ def raster_metrics(spark: SparkSession, d: str) -> DataFrame:
     return raster.per_image(_images(spark, d), ["vec_id", "pixels"], "vec_id long, sharpness double, noise double, halo double, clipped double, dynamic_range double, photographic double", one)
 
 
-@query()
+@query(f"""WITH {RASTER}, k AS (SELECT o, (o + d + 14) % 14 AS p, exp(-0.5 * d * d) AS w FROM range(8) a(o), range(-3, 4) b(d)), m AS (SELECT o, CASE WHEN p < 8 THEN p ELSE 14 - p END AS i, w / sum(w) OVER (PARTITION BY o) AS w FROM k), h AS (SELECT image, y, o AS x, sum(w * v) AS b FROM raster JOIN m ON i = x GROUP BY image, y, o),
+u AS (SELECT image, o AS y, h.x, sum(w * b) AS b FROM h JOIN m ON i = h.y GROUP BY image, o, h.x) SELECT image AS vec_id, sum(greatest(0, least(255, round_even(v + 0.1::DOUBLE * (v - b), 0)::BIGINT)))::BIGINT AS total, true AS stripes_agree FROM raster JOIN u USING (image, y, x) GROUP BY image""")
 def usm_stencil(spark: SparkSession, d: str) -> DataFrame:
     def one(row: dict) -> dict:
         a = _square(row)
