@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import drafts, graph, raster, stencils
 from . import fixtures as fx
 from . import resources
-from .catalogue import query
+from .catalogue import ROW, query
 from .catalogue_scalars import _images, _square
 from .fixtures import BOXES, RASTER, table
 
@@ -60,7 +60,9 @@ def protected_subtraction(spark: SparkSession, d: str) -> DataFrame:
     return fate.select("image", "draft", F.round("removed", 9).alias("removed"), "reason")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, e AS (SELECT a.id AS u, b.id AS v FROM boxes a JOIN boxes b ON a.image = b.image AND a.id <> b.id WHERE {ROW}), r AS (SELECT id AS n, id AS l FROM boxes UNION SELECT e.v, r.l FROM r JOIN e ON r.n = e.u), g AS (SELECT n AS id, min(l) AS component FROM r GROUP BY n),
+p AS (SELECT image, id, component, x0, y0, x1, y1, median(x1 - x0) OVER w AS m, count(*) OVER w AS n FROM boxes JOIN g USING (id) WINDOW w AS (PARTITION BY component)), q AS (SELECT *, n >= 4 AND x1 - x0 > 1.9 * m AND (x1 - x0) / greatest(1, y1 - y0)::DOUBLE > 1.40 AS wide FROM p), t AS (SELECT *, count(*) FILTER (NOT wide) OVER (PARTITION BY component) AS slim FROM q),
+k AS (SELECT *, count(*) OVER w AS parts, (max(x1) OVER w - min(x0) OVER w) / greatest(1, max(y1) OVER w - min(y0) OVER w)::DOUBLE AS shape FROM t WHERE NOT wide OR slim < 2 WINDOW w AS (PARTITION BY component)) SELECT image, id, component FROM k WHERE parts >= 3 OR (parts = 2 AND shape >= 1.05)""")
 def text_rows(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d)
     edges = drafts.row_edges(b, ["image"], "id", F.abs(F.col("a_size") - F.col("b_size")))
