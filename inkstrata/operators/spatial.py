@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Box, area, box, gap_x, intersection, iou, share, vertical_overlap
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: list[str], *, cell: int = 32, reach: int = 0, lp: str = "a_", rp: str = "b_") -> DataFrame:
-    """Pairs of boxes of one image whose boxes, each grown by ``reach`` pixels, meet; columns get the two prefixes.
+def overlap_join(left: DataFrame, right: DataFrame, on: list[str], *, cell: int = 32, reach: int = 0, reach_y: int | None = None, lp: str = "a_", rp: str = "b_") -> DataFrame:
+    """Pairs of boxes of one image whose boxes, each grown by ``reach`` pixels (up and down by ``reach_y`` where given), meet; columns get the two prefixes.
 
     Both sides are dealt to grid cells and joined on (on, cell). A pair is kept only in the cell that holds the first corner of its common area, so no pair comes twice and no
-    distinct is needed. Boxes of an image that fall into few cells stay one hash join's work; a hot image is split by its cells.
+    distinct is needed. A cell is as long as a box grows, at least, so that a box falls into two or three along an axis. A hot image is split by its cells.
+    The sides are merged, never broadcast: Spark estimates a dealt side by the file it comes from, far too small.
     """
+    by = {"x": reach, "y": reach if reach_y is None else reach_y}
+    long = {axis: max(cell, 2 * r) for axis, r in by.items()}
 
     def dealt(df: DataFrame, p: str) -> DataFrame:
         d = df.select(*on, *[F.col(c).alias(p + c) for c in df.columns if c not in on])
-        span = lambda lo, hi: F.sequence(F.floor((F.col(p + lo) - reach) / cell), F.floor((F.greatest(F.col(p + hi) - 1, F.col(p + lo)) + reach) / cell))
-        return d.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
-
-    pairs = dealt(left, lp).join(dealt(right, rp), [*on, "_cx", "_cy"])
-    a, b = box(lp), box(rp)
-    meets = (F.least(a.x1, b.x1) + 2 * reach > F.greatest(a.x0, b.x0)) & (F.least(a.y1, b.y1) + 2 * reach > F.greatest(a.y0, b.y0))
-    first = (F.col("_cx") == F.floor((F.greatest(a.x0, b.x0) - reach) / cell)) & (F.col("_cy") == F.floor((F.greatest(a.y0, b.y0) - reach) / cell))
-    return pairs.where(meets & first).drop("_cx", "_cy")
+        for z, r in by.items():
+            first, last = F.col(f"{p}{z}0") - r, F.greatest(F.col(f"{p}{z}1") - 1, F.col(f"{p}{z}0")) + r
+            d = d.withColumn(f"_{p}{z}", F.floor(first / long[z])).withColumn(f"_c{z}", F.explode(F.sequence(F.col(f"_{p}{z}"), F.floor(last / long[z]))))
+        return d
+
+    a, b = dealt(left, lp), dealt(right, rp).hint("merge")
+    meets = lambda z: F.least(f"{lp}{z}1", f"{rp}{z}1") + 2 * by[z] > F.greatest(f"{lp}{z}0", f"{rp}{z}0")
+    first = lambda z: F.col(f"_c{z}") == F.greatest(f"_{lp}{z}", f"_{rp}{z}")
+    return a.join(b, [*on, "_cx", "_cy"]).where(meets("x") & meets("y") & first("x") & first("y")).drop(*[f"_{k}{z}" for k in ("c", lp, rp) for z in by])
 
 
 def iou_pairs(boxes: DataFrame, on: list[str], key: str, least: float, cell: int = 32) -> DataFrame:

@@ -443,7 +443,7 @@ VROW = "least(a.size, b.size) / greatest(1.0, greatest(a.size, b.size)) >= 0.58
 @query(f"WITH {BOXES} SELECT a.image, a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.image = b.image AND a.id < b.id WHERE {VROW}")
 def visual_rows(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d)
-    j = spatial.overlap_join(b, b, ["image"], reach=96).where("a_id < b_id")
+    j = spatial.overlap_join(b, b, ["image"], reach=96, reach_y=0).where("a_id < b_id")
     return j.where(spatial.same_visual_row(g.box("a_"), g.box("b_"), F.col("a_size").cast("double"), F.col("b_size").cast("double"))).select("image", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 

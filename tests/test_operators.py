@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from inkstrata.functions import geometry as g
 from inkstrata.functions import hashing, numeric, text
 from inkstrata.operators import folds, graph, manifest, review, selection, spatial, tiles, votes
-from inkstrata.plans import resources
+from inkstrata.plans import catalogue, resources
 from inkstrata.sources import readers, writers
 
 
@@ -201,3 +201,23 @@ def test_entry_without_the_llm_subpackage(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') and n[2].isdigit() for n in q) and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}).returncode == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_join_grows_up_and_down_by_its_own_reach(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i % 2, i, x, y, x + rng.randint(0, 70), y + rng.randint(0, 40)) for i in range(120) for x, y in [(rng.randint(-400, 400), rng.randint(-40, 90))]]
+    b = spark.createDataFrame(rows, BOXES)
+    got = sorted((r.a_id, r.b_id) for r in spatial.overlap_join(b, b, ["image"], reach=96, reach_y=0).collect())
+    meets = lambda p, q: min(p[4], q[4]) + 192 > max(p[2], q[2]) and min(p[5], q[5]) > max(p[3], q[3])
+    assert got == sorted((p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and meets(p, q))
+
+
+def test_dealt_boxes_are_never_broadcast(spark, sf):
+    """A dealt side has many times its file's rows; 1.2 million boxes of 5 MB on disk took more than the driver has."""
+    assert "BroadcastHashJoin" not in _plan(catalogue.visual_rows(spark, sf))
