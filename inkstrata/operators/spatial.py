@@ -145,12 +145,12 @@ def same_visual_row(a: Box, b: Box, ha: Column, hb: Column) -> Column:
     )
 
 
-def should_join(a: Box, b: Box, inside_a: Column, inside_b: Column, colour: Column, width: Column, height: Column) -> Column:
-    """Residual masks that belong together: one in the other, on one row, or near parts of a small object."""
+def should_join(a: Box, b: Box, inside_a: Column, inside_b: Column, colour: Column, width: Column, height: Column, over: Column | None = None) -> Column:
+    """Residual masks that belong together: one in the other, on one row, or near parts of a small object. over: the boxes' IoU where it is at hand; spelled out here it takes a join's code over the 8,000 bytes that the JVM compiles."""
     ha, hb, wa, wb = a.y1 - a.y0, b.y1 - b.y0, a.x1 - a.x0, b.x1 - b.x0
     high = F.greatest(ha, hb)
     row = (vertical_overlap(a, b) > 0.42) & (high / F.greatest(F.lit(1), F.least(ha, hb)) < 3.2) & (gap_x(a, b) < 1.35 * high) & (colour < 82.0)
-    parts = (iou(a, b) > 0.08) & (F.greatest(wa, wb) < width * 0.32) & (high < height * 0.32) & (colour < 105.0)
+    parts = ((iou(a, b) if over is None else over) > 0.08) & (F.greatest(wa, wb) < width * 0.32) & (high < height * 0.32) & (colour < 105.0)
     return (inside_a > 0.86) | (inside_b > 0.86) | row | parts
 
 

@@ -452,12 +452,13 @@ JOINED = f"{COMMON} / greatest(1, {A})::DOUBLE > 0.86 OR {COMMON} / greatest(1,
 
 @query(f"WITH {BOXES} SELECT a.image, a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.image = b.image AND a.id < b.id WHERE {JOINED}")
 def residual_joins(spark: SparkSession, d: str) -> DataFrame:
-    b = fx.boxes(spark, d)
-    j = spatial.overlap_join(b, b, ["image"], reach=24).where("a_id < b_id")
+    b = fx.boxes(spark, d).withColumn("area", g.area(g.box()))
+    j = spatial.overlap_join(b, b, ["image"], reach=24, reach_y=0).where("a_id < b_id")
     p, q = g.box("a_"), g.box("b_")
-    both = g.intersection(p, q)
-    one = F.lit(1)
-    return j.where(spatial.should_join(p, q, both / F.greatest(one, g.area(p)), both / F.greatest(one, g.area(q)), F.abs(F.col("a_price") - F.col("b_price")), F.lit(120.0), F.lit(106.0))).select("image", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    both, one = g.intersection(p, q), F.lit(1)
+    over = g.share(both, F.col("a_area") + F.col("b_area") - both)
+    joined = spatial.should_join(p, q, both / F.greatest(one, "a_area"), both / F.greatest(one, "b_area"), F.abs(F.col("a_price") - F.col("b_price")), F.lit(120.0), F.lit(106.0), over)
+    return j.where(joined).select("image", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 @query(f"""WITH RECURSIVE {BOXES}, e AS (SELECT a.id AS u, b.id AS v FROM boxes a JOIN boxes b ON a.image = b.image AND a.id <> b.id WHERE {IOU} >= 0.2), r AS (SELECT id AS n, id AS l FROM boxes UNION SELECT e.v, r.l FROM r JOIN e ON r.n = e.u) SELECT n AS id, min(l) AS component FROM r GROUP BY n""")

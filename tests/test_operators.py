@@ -221,3 +221,17 @@ def test_overlap_join_grows_up_and_down_by_its_own_reach(spark):
 def test_dealt_boxes_are_never_broadcast(spark, sf):
     """A dealt side has many times its file's rows; 1.2 million boxes of 5 MB on disk took more than the driver has."""
     assert "BroadcastHashJoin" not in _plan(catalogue.visual_rows(spark, sf))
+
+
+def test_residual_joins_code_stays_small_enough_to_be_compiled(spark, sf, capsys):
+    """Java compiles no method of over 8,000 bytes; the join's condition was interpreted."""
+    import re
+
+    df = catalogue.residual_joins(spark, sf)
+    assert "BroadcastHashJoin" not in _plan(df)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        catalogue.residual_joins(spark, sf).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))) < 8000
