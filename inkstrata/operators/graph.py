@@ -23,17 +23,20 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(key, component): the smallest node reachable, itself included. Smallest labels spread along edges, and every round also jumps to the label's label, so rounds grow with the logarithm of a path."""
+    """(key, component): the smallest node reachable, itself included. Smallest labels spread along edges, and every round also jumps to the label's label, so rounds grow with the logarithm of a path.
+
+    Labels grow with the input, so they are merged at every size, never broadcast: their files are far smaller than their rows in memory.
+    """
     both = _cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
     label = _cut(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")), "labels")
     for _ in range(rounds):
-        near = both.join(label, both.v == label.n).groupBy("u").agg(F.min("l").alias("m"))
-        step = label.join(near, label.n == near.u, "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"))
+        near = both.join(label.hint("merge"), both.v == label.n).groupBy("u").agg(F.min("l").alias("m"))
+        step = label.join(near.hint("merge"), label.n == near.u, "left").select("n", F.col("l").alias("was"), F.least("l", F.coalesce("m", "l")).alias("l"))
         step = _cut(step, "labels")
-        jump = step.alias("s").join(step.select(F.col("n").alias("k"), F.col("l").alias("ll")).alias("t"), F.col("s.l") == F.col("t.k"), "left").select(F.col("s.n").alias("n"), F.least("s.l", F.coalesce("t.ll", "s.l")).alias("l"))
+        jump = step.alias("s").join(step.select(F.col("n").alias("k"), F.col("l").alias("ll")).alias("t").hint("merge"), F.col("s.l") == F.col("t.k"), "left").select(F.col("s.n").alias("n"), F.col("s.was").alias("was"), F.least("s.l", F.coalesce("t.ll", "s.l")).alias("l"))
         jump = _cut(jump, "labels")
-        moved = jump.join(label.select(F.col("n").alias("k"), F.col("l").alias("was")), F.col("n") == F.col("k")).where("l <> was").limit(1).count()
-        label = jump
+        moved = jump.where("l <> was").limit(1).count()
+        label = jump.select("n", "l")
         if not moved:
             return label.select(F.col("n").alias(key), F.col("l").alias("component"))
     raise RuntimeError("labels did not settle")

@@ -66,7 +66,7 @@ k AS (SELECT *, count(*) OVER w AS parts, (max(x1) OVER w - min(x0) OVER w) / gr
 def text_rows(spark: SparkSession, d: str) -> DataFrame:
     b = fx.boxes(spark, d)
     edges = drafts.row_edges(b, ["image"], "id", F.abs(F.col("a_size") - F.col("b_size")))
-    rows = b.join(graph.components(b.select("id"), edges, "id"), "id")
+    rows = b.join(graph.components(b.select("id"), edges, "id").hint("merge"), "id")
     return drafts.trimmed_rows(rows, ["component"]).select("image", "id", "component")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from inkstrata.functions import geometry as g
 from inkstrata.functions import hashing, numeric, text
 from inkstrata.operators import folds, graph, manifest, review, selection, spatial, tiles, votes
-from inkstrata.plans import catalogue, resources
+from inkstrata.plans import catalogue, catalogue_drafts, resources
 from inkstrata.sources import readers, writers
 
 
@@ -235,3 +235,10 @@ def test_residual_joins_code_stays_small_enough_to_be_compiled(spark, sf, capsys
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))) < 8000
+
+
+def test_components_and_rows_broadcast_no_labels(spark, sf, monkeypatch):
+    plans, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df, name: (plans.append(_plan(df)), cut(df, name))[1])
+    plans.append(_plan(catalogue_drafts.text_rows(spark, sf)))
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
