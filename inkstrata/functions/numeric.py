@@ -23,6 +23,13 @@ def ceil_div(a: Column, b: Column) -> Column:
     return -floor_div(-a, b)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimal places by scaling, as SQL engines round doubles: the scaled product is what halves go away from zero by, not x's shortest decimal. Zeros keep their sign; a product beyond doubles leaves x as it is."""
+    scaled = x * F.lit(10.0**digits)
+    near = F.signum(scaled) * F.round(F.abs(scaled)) / F.lit(10.0**digits)
+    return F.when(F.isnan(scaled) | (F.abs(scaled) == float("inf")), x).otherwise(near)
+
+
 def safe_ratio(after: Column, before: Column, floor: float = 0.0) -> Column:
     low = F.greatest(before, F.lit(floor))
     return F.when(low > 1e-9, after / low).when(after <= 1e-9, F.lit(1.0)).otherwise(F.lit(float("inf")))

@@ -68,7 +68,7 @@ def luma_replace(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN greatest(l_discount, 0.02) > 1e-9 THEN round(l_tax / greatest(l_discount, 0.02), 9) WHEN l_tax <= 1e-9 THEN 1.0 ELSE 'inf'::DOUBLE END AS floored, CASE WHEN l_discount > 1e-9 THEN round(l_tax / l_discount, 9) WHEN l_tax <= 1e-9 THEN 1.0 ELSE 'inf'::DOUBLE END AS plain FROM lineitem")
 def safe_ratios(spark: SparkSession, d: str) -> DataFrame:
     t, b = F.col("l_tax"), F.col("l_discount")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(numeric.safe_ratio(t, b, 0.02), 9).alias("floored"), F.round(numeric.safe_ratio(t, b), 9).alias("plain"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numeric.rounded(numeric.safe_ratio(t, b, 0.02), 9).alias("floored"), numeric.rounded(numeric.safe_ratio(t, b), 9).alias("plain"))
 
 
 @query("""SELECT p_partkey AS id, greatest(1, ceil(p_size / 7.0 * 3.0))::BIGINT AS radius, round(greatest(1e-6, CASE WHEN 3 < p_size % 9 THEN 0.5 - 0.5 * cos(pi() * 3.5 / (p_size % 9)) ELSE 1.0 END), 9) AS taper FROM part""")
