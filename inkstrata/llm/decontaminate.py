@@ -30,27 +30,59 @@ def passages(offsets: np.ndarray, words: int = 64) -> np.ndarray:
     return np.repeat(first, sizes) + (np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes)) // words
 
 
-def inverse_frequencies(docs: DataFrame, text: str, log2_buckets: int) -> tuple[np.ndarray, int]:
-    """log((1 + passages) / (1 + passages with the bucket)) over the passages of all documents, and their number; partial counts are combined before the shuffle, and 2^log2_buckets sums reach the driver."""
-    arrow_batches(docs.sparkSession)
+def passage_bags(texts: DataFrame, log2_buckets: int) -> DataFrame:
+    """(bag, n): every distinct passage of all texts (text, n), as its words' buckets in order (16 bits each up to 2^16 buckets), and the sum of n over where it stands. Written once; IDF and SVD both read it."""
+    arrow_batches(texts.sparkSession)
     size = 1 << log2_buckets
+    kind = bag_kind(log2_buckets)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(size, np.int64)
-        total = 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
             for lo in range(0, batch.num_rows, 100):
                 h, at = word_hashes(batch.column(0).slice(lo, 100).to_pylist())
                 if not len(h):
                     continue
                 p = passages(at)
-                total += int(p[-1]) + 1
-                keys = np.sort(p * size + buckets_of(h, log2_buckets))
-                found += np.bincount(keys[np.concatenate(([True], keys[1:] != keys[:-1]))] % size, minlength=size)
+                words = (np.sort(p * size + buckets_of(h, log2_buckets)) % size).astype(kind)
+                first = np.flatnonzero(np.diff(p, prepend=-1))
+                ends = (np.append(first, len(p)) * kind.itemsize).astype(np.int32)
+                bags = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.tobytes())])
+                yield pa.RecordBatch.from_arrays([bags, pa.array(n[lo + np.searchsorted(at, first, side="right") - 1], pa.int64())], ["bag", "n"])
+
+    rows = texts.select("text", F.col("n").cast("long").alias("n")).mapInArrow(trimmed(cut), "bag binary, n long")
+    return written(rows.groupBy("bag").agg(F.sum("n").alias("n")), "lsa-passages")
+
+
+def bag_kind(log2_buckets: int) -> np.dtype:
+    return np.dtype(np.uint16 if log2_buckets <= 16 else np.int32)
+
+
+def term_counts(bags: list, size: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bag, bucket, times) of all bags, in this order."""
+    lengths = np.fromiter(map(len, bags), np.int64, len(bags)) // kind.itemsize
+    keys = np.repeat(np.arange(len(bags)), lengths) * size + np.frombuffer(b"".join(bags), kind)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first] // size, keys[first] % size, np.diff(first, append=len(keys))
+
+
+def frequencies(rows: DataFrame, log2_buckets: int) -> tuple[np.ndarray, int]:
+    """log((1 + passages) / (1 + passages with the bucket)) over all passages (bag, n), and their number; partial counts are combined before the shuffle, and 2^log2_buckets sums reach the driver."""
+    size = 1 << log2_buckets
+    kind = bag_kind(log2_buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size, np.int64)
+        total = 0
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            row, b, _ = term_counts(batch.column(0).to_pylist(), size, kind)
+            np.add.at(found, b, n[row])
+            total += int(n.sum())
         live = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(live, -1)), pa.array(np.append(found[live], total))], ["b", "n"])
 
-    sums = docs.select(text).mapInArrow(trimmed(count), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.select("bag", "n").mapInArrow(trimmed(count), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     b, n = sums["b"].to_numpy(), sums["n"].to_numpy()
     df = np.zeros(size)
     df[b[b >= 0]] = n[b >= 0]
@@ -58,8 +90,13 @@ def inverse_frequencies(docs: DataFrame, text: str, log2_buckets: int) -> tuple[
     return np.log((1 + total) / (1 + df)).astype(np.float32), total
 
 
+def inverse_frequencies(docs: DataFrame, text: str, log2_buckets: int) -> tuple[np.ndarray, int]:
+    """``frequencies`` over the passages of all documents."""
+    return frequencies(passage_bags(docs.select(F.col(text).alias("text"), F.lit(1).alias("n")), log2_buckets), log2_buckets)
+
+
 def sampled_bags(docs: DataFrame, items: DataFrame, total: int, *, key: str, text: str, sample: int, log2_buckets: int, seed: int, spread: int = 8, tasks: int = 16) -> DataFrame:
-    """(bag): the distinct passages of all items, and about ``sample`` of the ``total`` passages of the corpus, in ``tasks`` partitions.
+    """(bag): the distinct passages of all items, and about ``sample`` of the ``total`` passages of the corpus, in ``tasks`` partitions, as 32-bit buckets. For trials on a part; ``leaks`` fits on every passage.
 
     A hash of key and text picks ``spread`` times as many passages' documents as wanted; of these, wherever in the text, a hash of the passage picks one in ``spread``.
     """
@@ -79,18 +116,12 @@ def sampled_bags(docs: DataFrame, items: DataFrame, total: int, *, key: str, tex
     return written(rows.select("bag").distinct().repartition(tasks, "bag"), "lsa-sample")
 
 
-def tfidf(bag: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A passage's buckets and its unit TF-IDF vector there."""
-    ids, tf = np.unique(np.frombuffer(bag, np.int32), return_counts=True)
-    w = tf * idf[ids].astype(np.float64)
-    return ids, w / max(float(np.sqrt((w * w).sum())), 1e-9)
-
-
-def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int, *, extra: int = 16, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(right singular vectors, singular values) of the TF-IDF matrix A of the passages (bag) in rows: the ``rank`` largest.
+def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int, *, extra: int = 16, seed: int = 11, kind: np.dtype = np.dtype(np.int32)) -> tuple[np.ndarray, np.ndarray]:
+    """(right singular vectors, singular values) of the matrix A of the passages' unit TF-IDF vectors (bag, of buckets of this kind) in rows: the ``rank`` largest.
 
     Executors project their passages, Y = A W with a random W, and sum Y'Y (small) and A'Y (buckets x columns) in one pass; the sums are added up in Spark by bucket, and the driver
     gets one row a bucket whatever the number of passages. With Y'Y = R'R the range finder's basis is Y R^-1, so A'Q = A'Y R^-1, whose SVD is that of A on this basis.
+    Passages are multiplied 64 at a time, as a dense matrix of the buckets they have, in single precision; sums over more than some thousand passages are doubles, and of A'Y singles are sent. Directions under 1e-7 of the largest eigenvalue are below that precision and go.
     """
     spark = rows.sparkSession
     size, width = len(idf), rank + extra
@@ -98,29 +129,48 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int, *, extra: int =
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, random = sent.value
-        total = np.zeros((size + width, width), np.float64)  # A'Y, and below it Y'Y
+        total = np.zeros((size, width))  # A'Y
+        square = np.zeros((width, width))  # Y'Y
+        part, held = np.zeros((size, width), np.float32), 0  # A'Y of some thousand passages
+        here, place = np.zeros(size, bool), np.zeros(size, np.int64)
         for batch in batches:
-            for bag in batch.column(0).to_pylist():
-                ids, w = tfidf(bag, idf)
-                y = w @ random[ids]
-                total[ids] += w[:, None] * y
-                total[size:] += np.outer(y, y)
+            row, bucket, times = term_counts(batch.column(0).to_pylist(), size, kind)
+            w = times * idf[bucket].astype(np.float64)
+            w = (w / np.maximum(np.sqrt(np.bincount(row, w * w, batch.num_rows)), 1e-9)[row]).astype(np.float32)
+            cuts = np.searchsorted(row, np.arange(0, batch.num_rows + 64, 64))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                here[bucket[lo:hi]] = True
+                ids = np.flatnonzero(here)
+                here[ids] = False
+                place[ids] = np.arange(len(ids))
+                a = np.zeros((64, len(ids)), np.float32)
+                a[row[lo:hi] % 64, place[bucket[lo:hi]]] = w[lo:hi]
+                y = a @ random[ids]
+                part[ids] += a.T @ y
+                y = y.astype(np.float64)
+                square += y.T @ y
+            held += batch.num_rows
+            if held >= 8000:
+                total += part
+                part[:], held = 0, 0
+        total += part
         live = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array([total[k].tobytes() for k in live], "binary")], ["b", "v"])
+        values = [total[k].astype(np.float32).tobytes() for k in live] + [v.tobytes() for v in square]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(live, size + np.arange(width))), pa.array(values, "binary")], ["b", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[b] = held.get(b, 0) + np.frombuffer(v)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), "int64"), pa.array([v.astype(np.float64).tobytes() for v in held.values()], "binary")], ["b", "v"])
+                held[b] = held.get(b, 0) + np.frombuffer(v, np.float32 if b < size else np.float64).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), "int64"), pa.array([v.tobytes() for v in held.values()], "binary")], ["b", "v"])
 
     sums = rows.select("bag").mapInArrow(trimmed(multiply), "b long, v binary").repartition("b").mapInArrow(trimmed(add), "b long, v binary").toArrow()
     total = np.zeros((size + width, width))
     if sums.num_rows:
         total[sums["b"].to_numpy()] = np.frombuffer(b"".join(sums["v"].to_pylist())).reshape(-1, width)
     values, turn = np.linalg.eigh(total[size:])
-    good = values > max(values[-1], 1e-12) * 1e-9
+    good = values > max(values[-1], 1e-12) * 1e-7
     back = total[:size] @ (turn[:, good] / np.sqrt(values[good]))  # A'Q
     squares, turn = np.linalg.eigh(back.T @ back)
     top = [k for k in np.argsort(squares)[::-1][:rank] if squares[k] > 1e-6 * squares.max()]
@@ -128,12 +178,12 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int, *, extra: int =
     return (back @ turn[:, top]) / sigma, sigma
 
 
-def fit(docs: DataFrame, items: DataFrame, idf: np.ndarray, total: int, *, key: str, text: str, rank: int = 64, sample: int = 16_000, seed: int = 11) -> np.ndarray:
+def fit(rows: DataFrame, idf: np.ndarray, *, rank: int = 64, seed: int = 11) -> np.ndarray:
     """The term matrix (buckets x rank) that takes a bag of words to its place: IDF times the right singular vectors of TF-IDF passages, each divided by its singular value.
 
-    Fitted on about ``sample`` passages of the corpus (a documented bound) and all those of the items; IDF comes from all documents, and every passage is searched.
+    Fitted on every passage in rows (``passage_bags``), each distinct one once, so that copies don't take the place of other texts.
     """
-    vectors, sigma = randomised_svd(sampled_bags(docs, items, total, key=key, text=text, sample=sample, log2_buckets=len(idf).bit_length() - 1, seed=seed), idf, rank, seed=seed)
+    vectors, sigma = randomised_svd(rows, idf, rank, seed=seed, kind=bag_kind(len(idf).bit_length() - 1))
     out = np.zeros((len(idf), rank), np.float32)
     out[:, : len(sigma)] = vectors / sigma * idf[:, None]
     return out
@@ -287,8 +337,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     kinds = dict(docs.dtypes)
     ddl = f"`{key}` {kinds[key]}, `{item}` {dict(benchmark.dtypes)[item]}, cosine double, lcs double, answer double"
     rows.sort(key=lambda r: (str(r[0]), r[1]))
-    idf, total = inverse_frequencies(docs, text, log2_buckets)
-    terms = fit(docs, queries, idf, total, key=key, text=text, rank=rank)
+    texts = docs.select(F.col(text).alias("text"), F.lit(1).alias("n")).unionAll(queries.select("text", F.lit(0).alias("n")))
+    bags = passage_bags(texts, log2_buckets)
+    idf, _ = frequencies(bags, log2_buckets)  # over the documents
+    terms = fit(bags, idf, rank=rank)
     terms = np.concatenate((terms, np.zeros((1, rank), np.float32)))
     sent = spark.sparkContext.broadcast((terms, [r[0] for r in rows], [r[1] for r in rows]))
     schema = to_arrow_schema(StructType.fromDDL(ddl))

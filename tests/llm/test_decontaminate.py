@@ -121,3 +121,24 @@ def test_query_against_brute_force(spark, sf):
                     break
     got = {(r.doc_id, r.item_id) for r in QUERIES["op6_decontaminate"](spark, sf).collect()}
     assert want and got == want
+
+
+def test_every_passage_is_fitted(spark, monkeypatch):
+    """All passages of documents and items, each distinct one once; IDF counts the documents' with repeats."""
+    seen, svd = [], d.randomised_svd
+    monkeypatch.setattr(d, "randomised_svd", lambda rows, *a, **k: (seen.extend(r.bag for r in rows.collect()), svd(rows, *a, **k))[1])
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(64 * (1 + i % 3)))) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(0, " ".join(f"q{i}" for i in range(64 * 3)))], "item_id long, text string")
+    assert d.leaks(docs.unionAll(docs.where("doc_id < 50")), items).count() == 0
+    passages = [w[k : k + 64] for t in [r[1] for r in rows] + [items.first().text] for w in [t.split(" ")] for k in range(0, len(w), 64)]
+    h, _ = d.word_hashes([" ".join(p) for p in passages])
+    want = {np.sort(b).astype(np.uint16).tobytes() for b in d.buckets_of(h, 15).reshape(-1, 64)}
+    assert len(seen) == len(want) == len(passages) > 24_000 and set(seen) == want
+
+
+def test_frequencies_count_passages(spark):
+    texts = spark.createDataFrame([("a a b", 1), ("a a b", 1), ("b c", 1), (None, 1), ("", 1), ("c d", 0)], "text string, n int")
+    idf, total = d.frequencies(d.passage_bags(texts, 15), 15)
+    h, _ = d.word_hashes(["a b c d"])
+    assert total == 3 and np.allclose(idf[d.buckets_of(h, 15)], np.log(4 / np.array([3, 4, 2, 1])))
