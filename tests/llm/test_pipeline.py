@@ -77,3 +77,17 @@ def test_null_and_repeated_ids_by_row(spark, tmp_path):
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in docs.collect()), key=str)
     want = [(None, clean), (None, private.replace("jane.doe@example.org", "[EMAIL]")), (7, twice), (7, other), (8, copy)]
     assert got == sorted([(k, t, len(t)) for k, t in want], key=str)
+
+
+def test_decontamination_fits_on_no_sample(spark, tmp_path, monkeypatch):
+    from inkstrata.llm import decontaminate
+
+    def sampled(*a, **k):
+        raise AssertionError("a sample")
+
+    monkeypatch.setattr(decontaminate, "sampled_bags", sampled)
+    say = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    spark.createDataFrame([(0, say("item", 40))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, say(f"d{i}", 70) + (" " + say("item", 40) if i == 7 else ""), "en", "s", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.drop_leaks(spark, docs, str(tmp_path)).collect()) == [i for i in range(30) if i != 7]
