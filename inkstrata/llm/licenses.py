@@ -194,10 +194,10 @@ def scan(files: DataFrame, *, key: str = "doc_id", path: str = "path", text: str
     own = F.col("score") >= least
     found = written(found.select(key, "path", folder.alias("dir"), F.when(own, F.col("license")).alias("own"), F.when(own, F.col("score")).alias("score"), (own & ((F.col("share") >= whole) | F.col("path").rlike(LICENCE_NAME.pattern.replace(r"\Z", "$").join(("(?i)(?:", ")"))))).alias("speaks")), "license-own")
     speakers = written(found.where("speaks").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("own").alias("license"))).alias("m")).select("dir", F.col("m.license").alias("license"), (-F.col("m.minus")).alias("score")), "license-dirs")
-    dirs = written(found.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).select("dir"), "dirs")
+    dirs = found.select("dir").distinct()  # neither they nor their ancestors are written: with local storage each part file costs the executor a process
     steps = F.filter(F.split("dir", "/"), lambda x: x != "")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("at")))
-    ancestors = written(dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.depth", F.col("a.at").alias("at")), "ancestors")
+    ancestors = dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.depth", F.col("a.at").alias("at"))
     met = ancestors.join(speakers.withColumnRenamed("dir", "at"), "at")
     nearest = written(met.groupBy("dir").agg(F.max(F.struct("depth", "at", "license", "score")).alias("m")).select("dir", F.col("m.at").alias("from_dir"), F.col("m.license").alias("inherited"), F.col("m.score").alias("their")), "nearest")
     joined = found.join(nearest, "dir", "left")

@@ -75,3 +75,20 @@ def test_runs_against_brute_force():
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_directories_are_not_written(spark, monkeypatch):
+    names = []
+
+    def written(df, name, keep=licenses.written):
+        names.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(licenses, "written", written)
+    rows = [(0, "LICENSE", "Released under the MIT License.")] + [(i, "/".join(f"d{i % k}" for k in range(2, 2 + i % 5)) + f"/{i}.c", "int main") for i in range(1, 60)] + [(99, "d1/d1/NOTICE", "Licensed under CC BY 4.0.")]
+    got = {r.doc_id: (r.license, r.origin, r.from_dir) for r in licenses.scan(spark.createDataFrame(rows, DDL)).collect()}
+    assert got[0] == ("MIT", "own", None) and got[99] == ("CC-BY-4.0", "own", None) and len(got) == 61
+    for i, path, _ in rows[1:-1]:
+        below = path.startswith("d1/d1/")
+        assert got[i] == (("CC-BY-4.0", "inherited", "d1/d1") if below else ("MIT", "inherited", ""))
+    assert sorted(names) == ["license-dirs", "license-own", "nearest"]
