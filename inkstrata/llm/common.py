@@ -41,9 +41,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, and a lost executor takes nothing with it."""
+    """df as a table in the shared folder: lineage is cut, and a lost executor takes nothing with it. Nobody else waits for it, so it has no _SUCCESS file: with local storage that costs the driver processes."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

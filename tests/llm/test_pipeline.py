@@ -4,7 +4,7 @@ import random
 from tests.llm.test_pii import base
 
 import corpus_pipeline as p
-from inkstrata.llm import simhash
+from inkstrata.llm import common, simhash
 from inkstrata.llm.common import written
 
 
@@ -91,3 +91,10 @@ def test_decontamination_fits_on_no_sample(spark, tmp_path, monkeypatch):
     rows = [(i, say(f"d{i}", 70) + (" " + say("item", 40) if i == 7 else ""), "en", "s", 0) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in p.drop_leaks(spark, docs, str(tmp_path)).collect()) == [i for i in range(30) if i != 7]
+
+
+def test_intermediate_tables_have_no_marker(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    some, none = written(spark.range(5), "some"), written(spark.range(5).where("id > 9"), "none")
+    assert sorted(r.id for r in some.collect()) == list(range(5)) and none.collect() == [] and none.dtypes == some.dtypes
+    assert len(list(tmp_path.iterdir())) == 2 and all(x.name.lstrip(".").startswith("part-") for d in tmp_path.iterdir() for x in d.iterdir())
